@@ -1,0 +1,9 @@
+"""The queries that the driver runs, and the SQL that must agree with them."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
