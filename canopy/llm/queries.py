@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.llm import packing
+from canopy.llm import minhash, packing
 from canopy.llm.common import read_table
 
 
@@ -10,8 +10,12 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_forest(spark, sf_dir):
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_best_fit_packing,)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op10_minhash_forest)}
 
 
 def oracle_sql():
