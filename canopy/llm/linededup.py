@@ -1,7 +1,8 @@
 """Removal of repeated runs of lines, found by winnowing over line hashes.
 
-A passage may start in the middle of a line, so a physical line is cut at its sentence ends; below, "line" means such a
-part. Every window of consecutive lines with at least `window_words` words gives its smallest line hash as fingerprint,
+A passage may start in the middle of a line, so a physical line is cut at its sentence ends, and a sentence of more than
+LONG characters also behind every word whose checksum says so: these cuts depend on the word alone, so two copies have
+the same ones behind an edit. Below, "line" means such a part. Every window of consecutive lines with at least `window_words` words gives its smallest line hash as fingerprint,
 so two texts that share a run of so many words in whole lines share a fingerprint of it. A fingerprint's occurrences
 join the first of them only, in order of (doc_id, text hash, position), never each other. Along the diagonal of such a
 match, all runs of equal lines are taken, each is extended both ways character by character, and runs of at least
@@ -16,6 +17,7 @@ kept as they are, whatever their names, but n_chars follows the text.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,19 +27,24 @@ from pyspark.sql import functions as F
 from canopy.llm.common import NO_ID, batches, materialize
 
 WINDOW_WORDS, MIN_WORDS = 20, 50
+LONG = 100
+_WORD = re.compile(r"\S+[ \t]*")
 _CUT = re.compile(r"\n|(?<=[.!?;:])[ \t]+")
 _DOC, _HASH, _RUNS = "_canopy_doc", "_canopy_hash", "_canopy_runs"
 
 
 def lines_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every non-blank line or sentence."""
+    """(start, end) of every non-blank line, sentence, or part of a long sentence."""
     spans, at = [], 0
-    for cut in _CUT.finditer(text):
-        if cut.start() > at:
-            spans.append((at, cut.start()))
-        at = cut.end()
-    if at < len(text):
-        spans.append((at, len(text)))
+    for low, high in [c.span() for c in _CUT.finditer(text)] + [(len(text), len(text))]:
+        if low - at > LONG:
+            for word in _WORD.finditer(text, at, low):
+                if crc32(word[0].rstrip().encode("utf-8", "surrogatepass")) % 8 == 0 and word.end() < low:
+                    spans.append((at, word.start() + len(word[0].rstrip())))
+                    at = word.end()
+        if low > at:
+            spans.append((at, low))
+        at = high
     return spans
 
 
