@@ -54,7 +54,7 @@ class _Words(dict):
 
     LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
     DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, vocabulary: str):
         import os
@@ -64,13 +64,18 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merge = self.tokenizer.model.tokenize
+        #: The visible character of each byte: printable Latin-1 stands for itself, the others follow U+0100.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = [chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)]
         self.parts: dict[str, bytes] = {}
         self.split = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.DIGIT}]|[^\t-\r \x85\xa0{self.LETTER}{self.DIGIT}]+"
         ).findall
         self.plain = re.compile("(?s)(?!.*<\\|)[\x00-\xff]*").fullmatch
         #: The shortcut is taken only for a vocabulary that it reproduces on a probe.
-        probe = "It's 12 A\xc9t\xe9--x/\xb2 don't&&& \xbd"
+        probe = "It's 12 A\xc9t\xe9--x/\xb2 don't&&& \xbd \x01\x7f\xad \xb5m\xdf, na\xefve\xa0x"
         self.short = True
         if b"".join(map(self.__missing__, probe.split(" "))) != self.encode(probe):
             self.short = False
@@ -82,7 +87,8 @@ class _Words(dict):
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
-            found = self.parts[text] = self.encode(text)
+            shown = text if text.isascii() and text.isprintable() else "".join(map(self.shown.__getitem__, text.encode()))
+            found = self.parts[text] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         return found
 
     def __missing__(self, run: str) -> bytes:
@@ -96,6 +102,7 @@ class _Words(dict):
     def of_text(self, text: str) -> bytes:
         if len(self) > self.MOST:
             self.clear()
+        if len(self.parts) > self.MOST:
             self.parts.clear()
         if not self.short:
             return self.encode(text)
