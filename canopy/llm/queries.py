@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.llm import decontaminate, linededup, minhash, packing, toxicity
+from canopy.llm import decontaminate, linededup, minhash, packing, pivots, toxicity
 from canopy.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op5_winnowed_line_dedup(spark, sf_dir):
     return linededup.remove_repeats(read_table(spark, sf_dir, "documents"), report=True)
 
 
+def op7_pivot_permutation(spark, sf_dir):
+    return pivots.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_seeded_alignment(spark, sf_dir):
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +31,7 @@ def op10_minhash_forest(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_chain, op3_best_fit_packing, op5_winnowed_line_dedup, op9_seeded_alignment, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op3_best_fit_packing, op5_winnowed_line_dedup, op7_pivot_permutation, op9_seeded_alignment, op10_minhash_forest)}
 
 
 def oracle_sql():
