@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.llm import decontaminate, linededup, minhash, packing, pivots, toxicity
+from canopy.llm import decontaminate, linededup, minhash, packing, pivots, toxicity, warc
 from canopy.llm.common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_toxicity_chain(spark, sf_dir):
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_capture_index(spark, sf_dir):
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,28 @@ def op10_minhash_forest(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_chain, op3_best_fit_packing, op5_winnowed_line_dedup, op7_pivot_permutation, op9_seeded_alignment, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_capture_index, op3_best_fit_packing, op5_winnowed_line_dedup, op7_pivot_permutation, op9_seeded_alignment, op10_minhash_forest)}
+
+
+#: Records of equal payloads: the largest page_id is the response. Base32 takes the digest's bits in fives.
+_WARC_SQL = """
+with p as (
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), r as (
+  select p.*, cast(octet_length(encode(html)) as bigint) as payload_bytes, max(page_id) over (partition by hex) as last,
+         cast(cast(unhex(hex) as bit) as varchar) as bits from p
+)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1
+         + 16 * cast(substr(bits, 5 * i + 1, 1) as int) + 8 * cast(substr(bits, 5 * i + 2, 1) as int)
+         + 4 * cast(substr(bits, 5 * i + 3, 1) as int) + 2 * cast(substr(bits, 5 * i + 4, 1) as int)
+         + cast(substr(bits, 5 * i + 5, 1) as int) as bigint), 1)), 'string_agg', '') as payload_digest,
+       case when page_id = last then 'response' else 'revisit' end as record_type,
+       case when page_id = last then null else last end as refers_to,
+       url
+from r
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op2_capture_index": _WARC_SQL}
