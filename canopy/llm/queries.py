@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.llm import decontaminate, linededup, minhash, packing, pivots, toxicity, warc
+from canopy.llm import decontaminate, linededup, minhash, packing, pivots, secrets, toxicity, warc
 from canopy.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op7_pivot_permutation(spark, sf_dir):
     return pivots.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_randomness_battery(spark, sf_dir):
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_seeded_alignment(spark, sf_dir):
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op10_minhash_forest(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_chain, op2_capture_index, op3_best_fit_packing, op5_winnowed_line_dedup, op7_pivot_permutation, op9_seeded_alignment, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_capture_index, op3_best_fit_packing, op5_winnowed_line_dedup, op7_pivot_permutation, op8_randomness_battery, op9_seeded_alignment, op10_minhash_forest)}
 
 
 #: Records of equal payloads: the largest page_id is the response. Base32 takes the digest's bits in fives.
