@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopy.llm import decontaminate, linededup, minhash, packing, pivots, quality, secrets, toxicity, warc
+from canopy.llm import decontaminate, linededup, minhash, packing, pii, pivots, quality, secrets, toxicity, warc
 from canopy.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_semi_markov_pii(spark, sf_dir):
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op5_winnowed_line_dedup(spark, sf_dir):
     return linededup.remove_repeats(read_table(spark, sf_dir, "documents"), report=True)
 
@@ -45,7 +49,7 @@ def op10_minhash_forest(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_chain, op2_capture_index, op3_best_fit_packing, op5_winnowed_line_dedup, op6_site_quality, op7_pivot_permutation, op8_randomness_battery, op9_seeded_alignment, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_capture_index, op3_best_fit_packing, op4_semi_markov_pii, op5_winnowed_line_dedup, op6_site_quality, op7_pivot_permutation, op8_randomness_battery, op9_seeded_alignment, op10_minhash_forest)}
 
 
 #: Records of equal payloads: the largest page_id is the response. Base32 takes the digest's bits in fives.
