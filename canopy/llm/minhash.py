@@ -241,7 +241,8 @@ def near_duplicates(
     entries = materialize(nodes.select("id", "n_words", F.explode(F.arrays_zip(*names)).alias("k")).select("id", "n_words", "k.*"))
     regions = materialize(_regions(entries, depths, region_docs, region_words))
     words = full.select(F.col("doc_id").alias("id"), "words")
-    placed = regions.join(words, "id")
+    # one plan at every size: a broadcast of the regions would have no bound
+    placed = regions.hint("merge").join(words, "id")
     links = materialize(
         placed.repartition("bucket", "chunk")
         .sortWithinPartitions("bucket", "chunk")
@@ -273,7 +274,7 @@ def _rest_links(large: DataFrame, words: DataFrame, component: DataFrame, percen
     asking = rest.select("bucket", "asked", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", F.lit(True).alias("asks"))
     asked = rest.select("bucket", "asked").distinct()
     answering = large.join(asked, "bucket").select("bucket", "asked", "chunk", "id", F.lit(False).alias("asks"))
-    blocks = asking.unionByName(answering).join(words, "id")
+    blocks = asking.unionByName(answering).hint("merge").join(words, "id")
     return (
         blocks.repartition("bucket", "asked", "chunk")
         .sortWithinPartitions("bucket", "asked", "chunk")
