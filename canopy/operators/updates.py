@@ -67,12 +67,16 @@ def changed(values: Column, change: Change) -> Column:
     return F.when(F.size(out) > 0, out)
 
 
+def _without(attrs: Column, key: str) -> Column:
+    return F.map_filter(attrs, lambda k, v: k != key)
+
+
 def modify(entries: DataFrame, dn: str, changes: list[Change]) -> DataFrame:
     """The generic layout with the changes made in order on one entry."""
     here, attrs = F.lower("dn") == dn.lower(), F.col("attrs")
     for c in changes:
         key = c.attribute.lower()
-        rest = F.map_filter(attrs, lambda k, v, key=key: k != key)
+        rest = _without(attrs, key)
         own = changed(F.try_element_at(attrs, F.lit(key)), c)
         attrs = F.when(own.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), own)))
     return entries.withColumn("attrs", F.when(here, attrs).otherwise(F.col("attrs")))
