@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from canopy.model import DirectoryError, ResultCode
 
-_COMMA = r"(?<!\\)((?:\\\\)*),"
+
 
 
 def parts(name: str) -> list[str]:
@@ -95,7 +95,7 @@ def escape_value_column(value: Column) -> Column:
 
 def rdns(name: Column) -> Column:
     """array<string>, leaf first. Escaped commas are those behind a backslash, as in data that escape_value() wrote."""
-    split = F.transform(F.split(name, r"(?<!\\),"), F.ltrim)
+    split = F.transform(F.split(name, r"(?<!\\),"), lambda p: F.ltrim(p))
     return F.when(name == "", F.array().cast("array<string>")).otherwise(split)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,7 @@ class Directory:
             raise DirectoryError("no base to search under")
         node = f.parse(request.filter) if isinstance(request.filter, str) else request.filter
         self._check_sort(request.sort)
-        found = [x for x in (self._of(r, node, base, request) for r in self.relations) if x is not None]
-        if not found:
-            raise DirectoryError(f"nothing can match {node}", ResultCode.NO_SUCH_OBJECT)
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more, allowMissingColumns=True)
+        out = self._united(node, base, request)
         if request.sort:
             out = out.orderBy(*self.order(request.sort))
         if request.size_limit:
@@ -47,24 +43,29 @@ class Directory:
         hidden = [c for c in out.columns if c.startswith("_sort_")]
         return out.drop(*hidden)
 
-    def _of(self, relation: Relation, node, base: str, request: SearchRequest) -> DataFrame | None:
-        within = _within(relation, base, request.scope)
-        if within is False:
-            return None
-        predicates = Predicates(relation, self.known)
-        condition = predicates.column(node)
-        if condition is False:
-            if len(self.relations) > 1:
-                return self._empty_if_only(relation, node, base, request)
+    def _united(self, node, base: str, request: SearchRequest) -> DataFrame:
+        """The relations that can match, united; if none can, an empty result with the columns of the first in scope."""
+        found = []
+        for relation in self.relations:
+            within = _within(relation, base, request.scope)
+            if within is not False:
+                predicates = Predicates(relation, self.known)
+                found.append((relation, within, predicates.column(node), predicates.used))
+        if not found:
+            raise DirectoryError(f"nothing is in scope under {base}", ResultCode.NO_SUCH_OBJECT)
+        live = [x for x in found if x[2] is not False] or [(*found[0][:2], F.lit(False), set())]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._of(*x, request) for x in live])
+
+    def _of(self, relation: Relation, within, condition, used: set[str], request: SearchRequest) -> DataFrame:
         shown = self._shown(relation, request)
         sort = {k.attribute.lower(): relation.find(k.attribute) for k in request.sort}
-        needed = predicates.used | relation.keys() | {a.column for _, a in shown} | {a.column for a in sort.values() if a}
+        needed = used | relation.keys() | {a.column for _, a in shown} | {a.column for a in sort.values() if a}
         frame = relation.frame(needed)
         if within is not True:
             frame = frame.where(within)
         if condition is not True:
             frame = frame.where(condition)
-        columns = [relation.dn().alias("dn"), F.lit(relation.object_class).alias("objectClass")]
+        columns = [relation.dn(frame).alias("dn"), F.lit(relation.object_class).alias("objectClass")]
         for name, a in shown:
             c = F.col(a.column)
             if request.types_only:
@@ -75,22 +76,6 @@ class Directory:
                 columns.append(_sort_value(a).alias(f"_sort_{name}"))
         return frame.select(*columns)
 
-    def _empty_if_only(self, relation, node, base, request) -> DataFrame | None:
-        """None if another relation may have rows; else this one, so that the result keeps its columns."""
-        for other in self.relations:
-            if _within(other, base, request.scope) is not False and Predicates(other, self.known).column(node) is not False:
-                return None
-            if _within(other, base, request.scope) is not False:
-                first = other
-                break
-        else:
-            return None
-        if relation is not first or any(
-            _within(o, base, request.scope) is not False and Predicates(o, self.known).column(node) is not False for o in self.relations
-        ):
-            return None
-        return Directory([relation], base)._of(relation, node, base, request).where("false")
-
     @staticmethod
     def _shown(relation: Relation, request: SearchRequest) -> list[tuple[str, Attribute]]:
         wanted = [a for a in request.attributes if a not in ("*", "+")]
@@ -120,11 +105,8 @@ class Directory:
         """The unordered result with its sort columns, and the order: for cursors."""
         base = self.default_base if request.base is None else request.base
         node = f.parse(request.filter) if isinstance(request.filter, str) else request.filter
-        found = [x for x in (self._of(r, node, base, request) for r in self.relations) if x is not None]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more, allowMissingColumns=True)
-        return out, self.order(request.sort)
+        self._check_sort(request.sort)
+        return self._united(node, base, request), self.order(request.sort)
 
     def compare(self, dn: str, attribute: str, value: str) -> DataFrame:
         """One row, matches: whether the entry has the value. No row if there is no such entry."""
@@ -169,12 +151,12 @@ def _within(relation: Relation, base: str, scope: str) -> Column | bool:
             if fixed.lower() != value.lower():
                 return False
             continue
-        test = F.col(own) == (int(value) if re_integer(value) else value)
+        test = F.col(own) == (int(value) if _is_integer(value) else value)
         out = test if out is True else out & test
     return out
 
 
-def re_integer(value: str) -> bool:
+def _is_integer(value: str) -> bool:
     return value.lstrip("-").isdigit()
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from canopy.functions.names import escape_value_column
 
@@ -44,6 +45,11 @@ class Relation:
     def keys(self) -> set[str]:
         return {a for a, fixed in self.path if fixed is None}
 
-    def dn(self) -> Column:
-        shown = [F.lit(f"{a}={v}") if v is not None else F.concat(F.lit(f"{a}="), escape_value_column(F.col(a))) for a, v in reversed(self.path)]
-        return F.concat_ws(",", *shown)
+    def dn(self, frame: DataFrame) -> Column:
+        def shown(name: str, fixed: str | None) -> Column:
+            if fixed is not None:
+                return F.lit(f"{name}={fixed}")
+            text = isinstance(frame.schema[name].dataType, StringType)
+            return F.concat(F.lit(f"{name}="), escape_value_column(F.col(name)) if text else F.col(name))
+
+        return F.concat_ws(",", *(shown(*step) for step in reversed(self.path)))
