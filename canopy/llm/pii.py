@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from canopy.llm.common import batches
 
 KINDS = ["email", "ip", "card", "phone"]
-LONGEST, MOST_TEXTS, ROUNDS, PENALTY = 7, 250, 20, 0.02
+LONGEST, MOST_TEXTS, ROUNDS, PENALTY = 7, 160, 20, 0.02
 
 # The base patterns. The e-mail's local part is taken from the left of its "@".
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -269,7 +269,12 @@ def _rewritten(text: str, start: int, end: int, kind: int) -> list[str]:
         return [short] if len(digits(short)) >= 9 else []
     if kind == 0:
         local, _, domain = span.partition("@")
-        return [f"{local} at {domain.replace('.', ' dot ')}", f"{local} [at] {domain.replace('.', ' [dot] ')}"]
+        plain = re.sub(r"[0-9]", "", local).strip("._%+-") or "info"
+        return [
+            f"{local} at {domain.replace('.', ' dot ')}",
+            f"{plain} at {domain.replace('.', ' dot ')}",
+            f"{plain} [at] {re.sub(r'[0-9]', '', domain).replace('.', ' [dot] ')}",
+        ]
     return []
 
 

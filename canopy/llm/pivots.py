@@ -10,7 +10,8 @@ The number of pivots follows the number of vectors, so lists keep their length u
 blocks, and tasks hold one block of lookups and one of stored vectors; a block gives counts and a spanning star of what
 is linked, never pairs. Vectors that are equal bit for bit are one, with a multiplicity.
 
-Pivots are fitted on a bounded sample (MOST_PIVOTS vectors, those of the smallest hash); every vector is indexed. Null,
+Pivots are fitted on a bounded sample (2 * MOST_PIVOTS vectors, those of the smallest hash) and kept apart, so that the
+members of a dense group agree on theirs; every vector is indexed. Null,
 zero and empty vectors, and those with null or non-finite components, link with nothing and are components of their own;
 vectors of different lengths never link. Rows that share a vec_id are one vector for component_id; a null vec_id is
 reported as null. An empty table gives no rows. Extra columns, labels among them, are ignored.
@@ -48,6 +49,17 @@ def _prepare(frames):
         yield pd.DataFrame({"vec_id": frame["vec_id"], "raw": pd.Series(raw, dtype=object)})
 
 
+def spread(units: np.ndarray, many: int, apart: float = 0.7) -> np.ndarray:
+    """The first vectors that are no nearer than `apart` to one before: a dense group gets one pivot, not its share."""
+    kept = np.zeros((0, units.shape[1]))
+    for u in units:
+        if len(kept) == many:
+            break
+        if not len(kept) or (kept @ u).max() < apart:
+            kept = np.vstack([kept, u])
+    return kept
+
+
 def nearest(units: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndarray:
     """Numbers of the nearest pivots in order; ties go to the lower number."""
     near = units @ pivots.T
@@ -148,8 +160,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = PROBE
     pivots = {}
     for w, n in widths.items():
         many = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT)))
-        drawn = nodes.where(F.length("raw") == w).orderBy(F.xxhash64("raw"), "raw").limit(many).select("raw").collect()
-        pivots[w] = _unit([bytes(r["raw"]) for r in drawn])
+        drawn = nodes.where(F.length("raw") == w).orderBy(F.xxhash64("raw"), "raw").limit(2 * many).select("raw").collect()
+        pivots[w] = spread(_unit([bytes(r["raw"]) for r in drawn]), many)
     known = spark.sparkContext.broadcast(pivots)
     described = nodes.where(F.length("raw").isin([*widths])).withColumn("d", _describe(known, probes)("raw"))
     described = materialize(described.select("node", "weight", "raw", "d.width", "d.pivots").withColumn("hash", F.abs(F.xxhash64("raw") % 1_000_003)))

@@ -11,8 +11,8 @@ Sites are pooled by grouped aggregation over all documents: sums of probabilitie
 then by host, then over all. Documents meet their path's sums by a join that Spark may split if one host has a third of
 them. The classifier is fitted on at most MOST_ROWS labelled documents (a parameter).
 
-Null and empty texts have the features of an empty text. Null hosts and paths form a site of their own. Without labels,
-or with one kind only, every document is kept at the base rate. Rows are kept one for one, repeated ones too.
+Null and empty texts have the features of an empty text. Null hosts and paths form a site of their own. Without labels
+of both kinds there is no evidence, and every document is kept. Rows are kept one for one, repeated ones too.
 """
 
 from __future__ import annotations
@@ -72,7 +72,10 @@ def fit_style(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
     sample = linear.encode_sample(linear.labelled_sample(docs, marked, most_rows), style, ["good"], MOST_FEATURES)
     y = sample.labels["good"]
     weights = linear.fit(linear.matrix(sample, np.zeros((len(sample), 0))), y)
-    return Style(sample.vocabulary, weights, float(y.mean()) if len(y) else 1.0)
+    if not len(y) or y.min() == y.max():
+        base = 0.99
+        return Style({}, np.array([linear.logit(base)]), base)
+    return Style(sample.vocabulary, weights, float(y.mean()))
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: float = KEEP) -> DataFrame:
