@@ -2,11 +2,12 @@
 
 A passage may start in the middle of a line, so a physical line is cut at its sentence ends, and a sentence of more than
 LONG characters also behind every word whose checksum says so: these cuts depend on the word alone, so two copies have
-the same ones behind an edit. Below, "line" means such a part. Every window of consecutive lines with at least `window_words` words gives its smallest line hash as fingerprint,
-so two texts that share a run of so many words in whole lines share a fingerprint of it. A fingerprint's occurrences
-join the first of them only, in order of (doc_id, text hash, position), never each other. Along the diagonal of such a
-match, all runs of equal lines are taken, each is extended both ways character by character, and runs of at least
-`min_words` words are cut out of the later text. The first occurrence of a passage therefore always stays.
+the same ones behind an edit. Below, "line" means such a part. Grams of consecutive lines with `gram_words` words are hashed, and every window of `window_words` words gives its
+smallest hash as fingerprint, so two texts that share a run of so many words in whole lines share a fingerprint of it.
+A fingerprint's occurrences
+join the first of them only, in order of (doc_id, text hash, position), never each other. A match is extended both ways
+as far as the two texts agree, trimmed to whole words, and runs of at least `min_words` words are cut out of the later
+text. The first occurrence of a passage therefore always stays.
 
 Null texts stay null and have no lines. Rows equal in doc_id and text count as one document and are treated alike, so
 neither empties the other; rows that share only the doc_id are documents of their own. Documents with nothing repeated
@@ -19,15 +20,14 @@ from __future__ import annotations
 import re
 from zlib import crc32
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import NO_ID, batches, materialize
 
-WINDOW_WORDS, MIN_WORDS = 20, 50
-LONG = 100
+GRAM_WORDS, WINDOW_WORDS, MIN_WORDS = 12, 36, 50
+LONG = 160
 _WORD = re.compile(r"\S+[ \t]*")
 _CUT = re.compile(r"\n|(?<=[.!?;:])[ \t]+")
 _DOC, _HASH, _RUNS = "_canopy_doc", "_canopy_hash", "_canopy_runs"
@@ -54,99 +54,108 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def fingerprints(text: str, window_words: int) -> list[tuple[int, int]]:
-    """(hash, line number) of the minimum of every window; of equal minima the last, and each line once."""
-    lines = [text[s:e] for s, e in lines_of(text)]
-    n = len(lines)
-    words = [x.count(" ") + 1 for x in lines]
-    hashes = [_hash(x) for x in lines]
-    out, high, total, last = [], 0, 0, -1
+def fingerprints(text: str, gram_words: int, window_words: int) -> list[tuple[int, int]]:
+    """(hash, start) of the least gram of every window, each place once.
+
+    A gram is the fewest lines from its first one on that have gram_words words; a window, the grams that lie within the
+    fewest lines with window_words words. Grams keep short common lines from being fingerprints. Of equal grams in a
+    window, the one chosen before stays, else the last is taken, so that monotonous texts have few fingerprints.
+    """
+    spans = lines_of(text)
+    n = len(spans)
+    until = [0]
+    for s, e in spans:
+        until.append(until[-1] + text.count(" ", s, e) + 1)
+    hashes, ends, high = [], [], 0
     for low in range(n):
-        while high < n and total < window_words:
-            total += words[high]
+        while high < n and until[high] - until[low] < gram_words:
             high += 1
-        if total < window_words:
+        if until[high] - until[low] < gram_words:
+            break
+        hashes.append(_hash(text[spans[low][0] : spans[high - 1][1]]))
+        ends.append(high)
+    out, to, last = [], 0, -1
+    for low in range(len(hashes)):
+        while to < len(hashes) and until[ends[to]] - until[low] <= window_words:
+            to += 1
+        if to == len(hashes) and until[n] - until[low] < window_words:
             break
-        if high - low == 1:
-            best = low
-        else:
-            least = min(hashes[low:high])
-            best = max(k for k in range(low, high) if hashes[k] == least)
-        if best != last:
-            out.append((hashes[best], best))
-            last = best
-        total -= words[low]
+        window = hashes[low : max(to, low + 1)]
+        least = min(window)
+        if last >= low and hashes[last] == least:
+            continue
+        last = low + len(window) - 1 - window[::-1].index(least)
+        out.append((least, spans[last][0]))
     return out
 
 
-def _fingerprint_rows(window_words):
+def _fingerprint_rows(gram_words, window_words):
     def run(frames):
         for frame in frames:
             rows = [
                 (h - 2**63, doc, own, at)
                 for doc, own, text in zip(frame["doc"], frame["hash"], frame["text"])
-                for h, at in fingerprints(text, window_words)
+                for h, at in fingerprints(text, gram_words, window_words)
             ]
             yield pd.DataFrame(rows, columns=["fp", "doc", "hash", "at"], dtype="int64")
 
     return run
 
 
-class _Parsed:
-    def __init__(self, text: str):
-        self.text = text
-        self.spans = lines_of(text)
-        self.hashes = np.array([_hash(text[s:e]) for s, e in self.spans], np.uint64)
+def _agree(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from a[i] and b[j] on are the same, by slices of growing and then shrinking size."""
+    done, step, most = 0, 64, min(len(a) - i, len(b) - j)
+    while done < most and a[i + done : i + done + step] == b[j + done : j + done + step]:
+        done += step
+        step *= 2
+    done = min(done, most)
+    while step > 1:
+        step //= 2
+        if done + step <= most and a[i + done : i + done + step] == b[j + done : j + done + step]:
+            done += step
+    return done
 
 
-def _same_before(a: str, i: int, b: str, j: int) -> int:
+def _agree_before(a: str, i: int, b: str, j: int) -> int:
     """How many characters before a[i] and b[j] are the same."""
-    k, most = 0, min(i, j)
-    while k < most and a[i - 1 - k] == b[j - 1 - k]:
-        k += 1
-    return k
-
-
-def _same_after(a: str, i: int, b: str, j: int) -> int:
-    k, most = 0, min(len(a) - i, len(b) - j)
-    while k < most and a[i + k] == b[j + k]:
-        k += 1
-    return k
-
-
-def shared_runs(first: _Parsed, later: _Parsed, shift: int, min_words: int) -> list[tuple[int, int]]:
-    """Runs of the later text (start, end) that the first one has `shift` lines before, extended to whole words."""
-    low = max(0, shift)
-    high = min(len(later.spans), len(first.spans) + shift)
-    if high <= low:
-        return []
-    same = later.hashes[low:high] == first.hashes[low - shift : high - shift]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-    out = []
-    for s, e in zip((edges[::2] + low).tolist(), (edges[1::2] + low).tolist()):
-        start, end = later.spans[s][0], later.spans[e - 1][1]
-        k = _same_before(first.text, first.spans[s - shift][0], later.text, start)
-        m = _same_after(first.text, first.spans[e - 1 - shift][1], later.text, end)
-        while k and start - k > 0 and not later.text[start - k - 1].isspace() and not later.text[start - k].isspace():
-            k -= 1
-        while m and end + m < len(later.text) and not later.text[end + m].isspace() and not later.text[end + m - 1].isspace():
-            m -= 1
-        start, end = start - k, end + m
-        if len(later.text[start:end].split()) >= min_words:
+    done, step, most = 0, 64, min(i, j)
+    while done < most and a[max(0, i - done - step) : i - done] == b[max(0, j - done - step) : j - done] and done + step <= most:
+        done += step
+        step *= 2
+    while step > 1:
+        step //= 2
+        if done + step <= most and a[i - done - step : i - done] == b[j - done - step : j - done]:
+            done += step
+    return done
+
+
+def shared_runs(first: str, later: str, places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Runs (start, end) of later around the places (there, in first) that first has as well, trimmed to whole words."""
+    out, reached = [], {}
+    for at, there in sorted(places):
+        if at < reached.get(at - there, 0):
+            continue
+        end = at + _agree(later, at, first, there)
+        start = at - _agree_before(later, at, first, there)
+        reached[at - there] = end
+        if start and not later[start - 1].isspace():
+            while start < end and not later[start].isspace():
+                start += 1
+        if end < len(later) and not later[end].isspace():
+            while end > start and not later[end - 1].isspace():
+                end -= 1
+        if len(later[start:end].split()) >= min_words:
             out.append((start, end))
     return out
 
 
 def _run_rows(min_words):
     def run(frames):
-        key, first = None, None
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                if key != (r.first_doc, r.first_hash):
-                    key, first = (r.first_doc, r.first_hash), _Parsed(r.first_text)
-                later = first if (r.doc, r.hash) == key else _Parsed(r.text)
-                rows += [(r.doc, r.hash, s, e) for shift in r.shifts for s, e in shared_runs(first, later, int(shift), min_words)]
+                places = list(zip(r.here.tolist(), r.there.tolist()))
+                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(r.first_text, r.text, places, min_words)]
             yield pd.DataFrame(rows, columns=["doc", "hash", "start", "end"], dtype="int64")
 
     return run
@@ -171,38 +180,48 @@ def _cut(text: pd.Series, runs: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cut_runs(t, r) for t, r in zip(text, runs)], dtype=object)
 
 
-def repeated_runs(docs: DataFrame, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS
+) -> DataFrame:
     """doc, hash, runs: the runs (start, end in characters) that each document repeats from an earlier place."""
     texts = (
         docs.where("text IS NOT NULL")
         .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("hash"), "text")
     )
-    fps = materialize(texts.mapInPandas(_fingerprint_rows(window_words), "fp long, doc long, hash long, at long"))
+    fps = materialize(texts.mapInPandas(_fingerprint_rows(gram_words, window_words), "fp long, doc long, hash long, at long"))
+    # most fingerprints occur once: only the others go on
+    often = fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    fps = materialize(fps.hint("merge").join(often, "fp"))
     place = F.struct("doc", "hash", "at")
-    firsts = fps.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    matches = fps.join(firsts.select("fp", "first"), "fp").where(place > F.col("first"))
-    pairs = (
-        matches.groupBy("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
-        .agg(F.collect_set(F.col("at") - F.col("first.at")).alias("shifts"))
-    )
+    firsts = fps.groupBy("fp").agg(F.min(place).alias("first"))
+    matches = fps.join(firsts, "fp").where(place > F.col("first"))
+    pairs = matches.groupBy(
+        "doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash")
+    ).agg(F.collect_list("at").alias("here"), F.collect_list("first.at").alias("there"))
     pairs = materialize(pairs)
-    later = pairs.join(texts, ["doc", "hash"])
+    later = pairs.hint("merge").join(texts, ["doc", "hash"])
     firsts = texts.select(F.col("doc").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("text").alias("first_text"))
-    both = later.join(firsts, ["first_doc", "first_hash"])
-    runs = both.select("doc", "hash", "text", "first_doc", "first_hash", "first_text", "shifts").mapInPandas(
+    both = later.hint("merge").join(firsts, ["first_doc", "first_hash"])
+    runs = both.select("doc", "hash", "text", "first_doc", "first_hash", "first_text", "here", "there").mapInPandas(
         _run_rows(min_words), "doc long, hash long, start long, end long"
     )
     return runs.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    gram_words: int = GRAM_WORDS,
+    window_words: int = WINDOW_WORDS,
+    min_words: int = MIN_WORDS,
+    report: bool = False,
+) -> DataFrame:
     """docs with the repeated runs cut out of text; with report, also removed_runs ("start:end", comma-joined) and n_removed."""
     batches(docs.sparkSession, 500)
-    found = materialize(repeated_runs(docs, window_words, min_words)).select(
+    found = materialize(repeated_runs(docs, gram_words, window_words, min_words)).select(
         F.col("doc").alias(_DOC), F.col("hash").alias(_HASH), F.col("runs").alias(_RUNS)
     )
     keyed = docs.withColumns({_DOC: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), _HASH: F.xxhash64("text")})
-    joined = keyed.join(found, [_DOC, _HASH], "left")
+    joined = keyed.hint("merge").join(found, [_DOC, _HASH], "left")
     hit = F.col(_RUNS).isNotNull()
     cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("text")), F.when(hit, F.col(_RUNS)))
     out = joined.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
