@@ -72,5 +72,45 @@ from r
 """
 
 
+#: Brute force: every pair of vectors, and what is reachable by links.
+_PIVOTS_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as x, len(embedding) as n from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), u as (
+  select vec_id, x, n, sqrt(list_dot_product(x, x)) as size from v where list_dot_product(x, x) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.n = b.n and a.vec_id <> b.vec_id
+  where list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.9
+), reach as (
+  select vec_id as id, vec_id as root from embeddings union select l.b, r.root from reach r join link l on l.a = r.id
+)
+select e.vec_id, (select count(*) from link where a = e.vec_id) as n_links, r.root as component_id, r.root = e.vec_id as kept
+from embeddings e join (select id, min(root) as root from reach group by id) r on r.id = e.vec_id
+"""
+
+#: Brute force: every pair of documents that share a shingle, and what is reachable by links.
+_MINHASH_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case
+    when len(w) >= 5 then list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), link as (
+  select a, b from (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+  ) join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), reach as (
+  select doc_id as id, doc_id as root from documents union select l.b, r.root from reach r join link l on l.a = r.id
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.root as component_id, r.root = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id join (select id, min(root) as root from reach group by id) r on r.id = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op2_capture_index": _WARC_SQL}
+    return {"op2_capture_index": _WARC_SQL, "op7_pivot_permutation": _PIVOTS_SQL, "op10_minhash_forest": _MINHASH_SQL}
