@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from canopy.model import DirectoryError, ResultCode
 
 
-
-
 def parts(name: str) -> list[str]:
     """The RDNs of a name, leaf first."""
     if not name:
