@@ -40,13 +40,15 @@ def logit(p):
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     """text and the label columns of at most most_rows labelled documents, those of the smallest id hash.
 
-    A doc_id labelled several times takes its largest labels; null ids and null texts are left out.
+    A doc_id labelled several times takes its largest labels, one with several texts the last of them in order; null ids
+    and null texts are left out.
     """
     names = [c for c in labels.columns if c != "doc_id"]
     once = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names))
     picked = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    return rows.join(F.broadcast(picked), "doc_id").drop("doc_id")  # bounded by most_rows
+    joined = rows.join(F.broadcast(picked), "doc_id")  # bounded by most_rows
+    return joined.groupBy("doc_id").agg(F.max("text").alias("text"), *(F.max(c).alias(c) for c in names)).drop("doc_id")
 
 
 def encode_sample(
