@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import NO_ID, batches, materialize
+from canopy.llm.common import NO_ID, batches, drop_table, materialize
 
 GRAM_WORDS, WINDOW_WORDS, MIN_WORDS = 12, 36, 50
 LONG = 160
+#: Later texts that meet a first text in one group.
+GROUP = 256
 _WORD = re.compile(r"\S+[ \t]*")
 _CUT = re.compile(r"\n|(?<=[.!?;:])[ \t]+")
 _DOC, _HASH, _RUNS = "_canopy_doc", "_canopy_hash", "_canopy_runs"
@@ -150,12 +152,18 @@ def shared_runs(first: str, later: str, places: list[tuple[int, int]], min_words
 
 
 def _run_rows(min_words):
+    """Texts come in groups behind the first text that they match."""
+
     def run(frames):
+        first = None
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
+                if r.leads:
+                    first = r.text
+                    continue
                 places = list(zip(r.here.tolist(), r.there.tolist()))
-                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(r.first_text, r.text, places, min_words)]
+                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(first, r.text, places, min_words)]
             yield pd.DataFrame(rows, columns=["doc", "hash", "start", "end"], dtype="int64")
 
     return run
@@ -191,7 +199,8 @@ def repeated_runs(
     fps = materialize(texts.mapInPandas(_fingerprint_rows(gram_words, window_words), "fp long, doc long, hash long, at long"))
     # most fingerprints occur once: only the others go on
     often = fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    fps = materialize(fps.hint("merge").join(often, "fp"))
+    every, fps = fps, materialize(fps.hint("merge").join(often, "fp"))
+    drop_table(every)
     place = F.struct("doc", "hash", "at")
     firsts = fps.groupBy("fp").agg(F.min(place).alias("first"))
     matches = fps.join(firsts, "fp").where(place > F.col("first"))
@@ -199,11 +208,29 @@ def repeated_runs(
         "doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash")
     ).agg(F.collect_list("at").alias("here"), F.collect_list("first.at").alias("there"))
     pairs = materialize(pairs)
-    later = pairs.hint("merge").join(texts, ["doc", "hash"])
-    firsts = texts.select(F.col("doc").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("text").alias("first_text"))
-    both = later.hint("merge").join(firsts, ["first_doc", "first_hash"])
-    runs = both.select("doc", "hash", "text", "first_doc", "first_hash", "first_text", "here", "there").mapInPandas(
-        _run_rows(min_words), "doc long, hash long, start long, end long"
+    drop_table(fps)
+    # texts are fetched once, for both sides; a first text that many others match is dealt to several groups with it
+    key = ["first_doc", "first_hash"]
+    sized = pairs.groupBy(*key).agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    later = pairs.join(sized, key).select(
+        "doc", "hash", *key, F.pmod(F.xxhash64("doc", "hash"), "groups").alias("group"), F.lit(False).alias("leads"), "here", "there"
+    )
+    none = F.lit(None).cast("array<long>")
+    leading = sized.select(
+        F.col("first_doc").alias("doc"),
+        F.col("first_hash").alias("hash"),
+        *key,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"),
+        F.lit(True).alias("leads"),
+        none.alias("here"),
+        none.alias("there"),
+    )
+    both = later.unionByName(leading).hint("merge").join(texts, ["doc", "hash"])
+    runs = (
+        both.repartition(*key, "group")
+        .sortWithinPartitions(*key, "group", F.desc("leads"))
+        .select("doc", "hash", "text", *key, "leads", "here", "there")
+        .mapInPandas(_run_rows(min_words), "doc long, hash long, start long, end long")
     )
     return runs.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
