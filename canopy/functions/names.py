@@ -84,11 +84,11 @@ def unescape_assertion(value: str) -> str:
 
 def escape_value_column(value: Column) -> Column:
     """escape_value() on data, by nested replacement."""
-    out = F.regexp_replace(value.cast("string"), r"\\", r"\\\\5c")
+    out = F.replace(value.cast("string"), F.lit("\\"), F.lit("\\5c"))
     for mark in '+,"<>;=':
         out = F.replace(out, F.lit(mark), F.lit(f"\\{ord(mark):02x}"))
-    out = F.regexp_replace(out, "^#", r"\\\\23")
-    return F.regexp_replace(F.regexp_replace(out, "^ ", r"\\\\20"), " $", r"\\\\20")
+    out = F.regexp_replace(out, "^#", r"\\23")
+    return F.regexp_replace(F.regexp_replace(out, "^ ", r"\\20"), " $", r"\\20")
 
 
 def rdns(name: Column) -> Column:
