@@ -9,6 +9,8 @@ from canopy.llm import decontaminate, linededup, minhash, packing, toxicity
 from canopy.llm.common import NO_ID, materialize, read_table
 
 _DOC = "_canopy_doc"
+#: Jaccard similarity of word shingles from which documents are near duplicates, in percent.
+NEAR = 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest doc_id."""
-    out = minhash.near_duplicates(docs).where(~F.col("kept"))
+    out = minhash.near_duplicates(docs, percent=NEAR).where(~F.col("kept"))
     out = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(_DOC)).distinct()
     keyed = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     return keyed.hint("merge").join(out, _DOC, "left_anti").select(*(F.col(c) for c in docs.columns))

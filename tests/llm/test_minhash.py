@@ -64,3 +64,33 @@ def test_odd_tables(docs_of):
     rows = [(7, text), (7, text), (None, text), (3, text), (9, "x" * 200_000 + " y" * 3)]
     found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs_of(rows)).collect())
     assert found == [("3", "None", False), ("7", "None", False), ("7", "None", False), ("9", "9", True), ("None", "None", True)]
+
+
+def test_stage_links_from_80_percent(spark, docs_of):
+    """Pairs whose similarity is on either side of 0.80, through the pipeline's stage; brute force says which are copies."""
+    import corpus_pipeline
+
+    rng = random.Random(80)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, copies, between = [], set(), 0
+    for k in range(300):
+        base = [word() for _ in range(500)]
+        copy = list(base)
+        for at in rng.sample(range(0, 500, 10), rng.randint(8, 14)):
+            copy[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            copies.add(2 * k + 1)
+            between += 100 * len(a & b) < 85 * len(a | b)
+    assert between > 50 and len(copies) < 300
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "").collect()}
+    dropped = {i for i, _ in rows} - left
+    assert dropped <= copies and len(dropped) >= 0.99 * len(copies)
+
+
+def test_trees_follow_the_bound():
+    assert minhash.depths_for(85) == (3, 4, 6) and minhash.depths_for(80) == (3, 4, 5)
+    for percent in range(60, 100, 5):
+        last = minhash.depths_for(percent)[-1]
+        assert (1 - (percent / 100) ** last) ** (minhash.HASHES // last) <= minhash.MISSED
