@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The words of every benchmark item give its seeds: n-grams, keyed by hash. Training texts are searched for all of them in
-one pass. How many documents hold a seed is counted over the whole corpus, and an item keeps the seeds that are rare for
-it: in at most `floor` documents, or in at most four times as many as its rarest one that occurs. A passage that is in a
-third of all documents keeps its seeds by the second rule, common phrases go by both.
+one pass. Every document with a seed of an item is a candidate for it, however many documents hold that seed.
 
-Documents with a seed of an item are aligned with it, word by word (match 2, mismatch -1, gap -1), around the seeds. A
-pair is reported when the local alignment scores at least `least` of the score of a full match. Documents meet items by
+Candidates are aligned with the item, word by word (match 2, mismatch -1, gap -1), around the seeds. A pair is reported
+when the local alignment scores at least `least` of the score of a full match. Places that hold too few of the item's words
+to reach that score, as around a common phrase, are not aligned: the bound is exact, so nothing is lost. Documents meet items by
 joins on seed and id, and never all items at once: the seed table is broadcast only while the benchmark has at most
 MOST_BROADCAST words; a larger one is joined by shuffle.
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.common import NO_ID, batches, materialize
 
-SEED_WORDS, FLOOR, LEAST = 4, 64, 0.5
+SEED_WORDS, LEAST = 4, 0.5
 MOST_BROADCAST = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _words = re.compile(r"\w+").findall
@@ -151,21 +150,25 @@ def _alignments(n: int, least: float):
                     hit = np.flatnonzero(np.isin(at, grams))
                     if not len(hit):
                         continue
-                    reach = 2 * len(item)
+                    reach, needed = 2 * len(item), least * MATCH * len(item)
                     best, edges = (0, 0, 0), np.flatnonzero(np.diff(hit) > reach)
                     for low, high in zip(hit[np.concatenate(([0], edges + 1))], hit[np.concatenate((edges, [len(hit) - 1]))]):
                         low = max(0, int(low) - reach)
-                        score, start, end = align(own[low : int(high) + reach + n], item)
+                        part = own[low : int(high) + reach + n]
+                        # each match takes a word of the item of its own
+                        if MATCH * np.isin(item, part).sum() < needed:
+                            continue
+                        score, start, end = align(part, item)
                         if score > best[0]:
                             best = (score, low + start, low + end)
-                    if best[0] >= least * MATCH * len(item):
+                    if best[0] >= needed:
                         rows.append((r.doc_id, item_id, best[0], best[0] / (MATCH * len(item)), best[1], best[2]))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share", "first_word", "last_word"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, floor: int = FLOOR, least: float = LEAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score, share, first_word, last_word: documents that hold a copy, exact or edited, of an item."""
     spark = docs.sparkSession
     batches(spark, 500)
@@ -181,11 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, flo
     if known is None:
         hits = hits.join(wanted.select("seed").distinct(), "seed", "left_semi")
     hits = materialize(hits)
-    held = hits.groupBy("seed").agg(F.count_distinct("doc_id").alias("docs"))
-    ranked = wanted.join(held, "seed")
-    rarest = ranked.groupBy("item_id").agg(F.min("docs").alias("rarest"))
-    rare = ranked.join(rarest, "item_id").where(F.col("docs") <= F.greatest(F.lit(floor), 4 * F.col("rarest"))).select("item_id", "seed")
-    pairs = hits.join(rare, "seed").select("doc_id", "item_id").distinct()
+    pairs = hits.join(wanted, "seed").select("doc_id", "item_id").distinct()
     items = benchmark.where("text IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("item_text"))
     # a document has few items, an item may have a third of all documents: the document is the key
     of_doc = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"), F.collect_list("item_text").alias("item_texts"))

@@ -88,6 +88,22 @@ def test_decontamination(spark, docs_of, monkeypatch, most):
     assert decontaminate.keep_clean(docs_of(rows), benchmark.where("false")).count() == len(rows)
 
 
+def test_hot_copies_beside_an_exact_one(spark, docs_of):
+    """Edited and partial copies that share no seed with what only the one exact copy holds."""
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join(item[:24] + ["other"] + item[25:])
+    partial = " ".join(item[:24])
+    rows = [(1, " ".join(item))]
+    rows += [(100 + k, f"a{k} b{k} {edited} c{k}") for k in range(150)]
+    rows += [(300 + k, f"a{k} b{k} {partial} c{k}") for k in range(150)]
+    # a common phrase of the item alone is no copy
+    rows += [(500 + k, f"a{k} {' '.join(item[5:12])} b{k}") for k in range(150)]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.contaminated(docs_of(rows), benchmark).collect()}
+    assert set(found) == {(i, 7) for i, _ in rows if i < 500} and min(found.values()) >= 0.5
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs_of(rows), benchmark).collect()} == {i for i, _ in rows if i >= 500}
+
+
 def labelled(rng, n, first=0):
     rows, labels = [], []
     for k in range(first, first + n):
