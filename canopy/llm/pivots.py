@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Reference vectors (pivots) are drawn from the data by hash. Each vector is described by its nearest pivots in order. It
-is stored in the inverted list of its nearest one and looks itself up in the lists of all its nearest `PROBES`; a stored
+is stored in the inverted list of its nearest one and looks itself up in the lists of its nearest `probes_for`; a stored
 vector is a candidate if the two share at least `SHARED` of them, counted on bit sets, and a link if their cosine, in
 double precision, is at least `cosine`. A vector sees each other one in one list at most, so links can be counted where
 they are found: a looked-up vector that would not see its finder is credited at once.
 
-The number of pivots follows the number of vectors, so lists keep their length until MOST_PIVOTS. A list is dealt into
+The number of pivots follows the number of vectors, so lists keep their length until MOST_PIVOTS. Among more pivots the
+order of the nearest is less stable, so the number of probes grows with their logarithm. A list is dealt into
 blocks, and tasks hold one block of lookups and one of stored vectors; a block gives counts and a spanning star of what
 is linked, never pairs. Vectors that are equal bit for bit are one, with a multiplicity.
 
@@ -19,6 +20,8 @@ reported as null. An empty table gives no rows. Extra columns, labels among them
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +36,11 @@ PROBES, SHARED = 8, 2
 BLOCK = 2048
 
 
+def probes_for(pivots: int) -> int:
+    """PROBES up to 32 pivots, and two more for each doubling, so that recall doesn't fall with their number."""
+    return PROBES + 2 * max(0, math.ceil(math.log2(max(pivots, 1) / 32)))
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -80,7 +88,8 @@ def _describe(shared, probes):
         width = raw.map(len).to_numpy()
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
-            near = nearest(_unit(raw.iloc[rows].tolist()), shared.value[int(w)], probes)
+            pivots = shared.value[int(w)]
+            near = nearest(_unit(raw.iloc[rows].tolist()), pivots, probes or probes_for(len(pivots)))
             for k, r in enumerate(rows):
                 out[r] = near[k].tolist()
         return pd.DataFrame({"width": (width // 4).astype(np.int32), "pivots": out})
@@ -148,7 +157,7 @@ def _block(cosine, needed):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = PROBES, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int | None = None, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
     spark = vectors.sparkSession
     batches(spark, 2000)

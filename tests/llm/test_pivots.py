@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from canopy.llm import pivots
 
@@ -48,3 +49,20 @@ def test_odd_vectors(spark):
     assert out.pop(7) == (1, 7, True) and out.pop(8) == (1, 7, False)
     assert out == {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 9, None)}
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("many", [1024, 4096])
+def test_recall_with_many_pivots(spark, monkeypatch, many):
+    """Pairs at the bound, none of them a pivot, as in a table of 100 vectors a pivot."""
+    rng = np.random.default_rng(many)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    drawn = unit(rng.normal(size=(many, 64)))
+    monkeypatch.setattr(pivots, "spread", lambda units, most: drawn)
+    base, other = unit(rng.normal(size=(2000, 64))), rng.normal(size=(2000, 64))
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    share = rng.uniform(0.9, 0.91, (2000, 1))
+    vectors = np.concatenate([base, share * base + np.sqrt(1 - share**2) * other]).astype(np.float32)
+    link = brute(vectors)
+    out = pivots.near_duplicates(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], SCHEMA)).collect()
+    found = sum(r["n_links"] for r in out)
+    assert 0.95 * link.sum() <= found <= link.sum()
