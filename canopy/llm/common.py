@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in join keys: no real id takes this value.
 NO_ID = -(2**63)
+#: Rows that a task turns into Python objects at once. Batches have a bound in bytes by Spark's own setting.
+ROWS = 500
+_folders: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="canopy-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/canopy-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/canopy-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -37,25 +42,66 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+def _delete(spark: SparkSession, paths) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("canopy-"):
-            path.getFileSystem(conf).delete(path, True)
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() wrote and nothing reads any more."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        _delete(df.sparkSession, (f for f in folders if f.rsplit("/", 1)[1].startswith("canopy-")))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators wrote in this application.
+
+    Results are lazy and read their scratch tables: call it when they have been written or collected.
+    """
+    _delete(spark, _folders.pop(spark.sparkContext.applicationId, []))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def named(column: str) -> Column:
+    """A column by its name, whatever characters the name has."""
+    return F.col(f"`{column.replace('`', '``')}`")
 
 
-def batches(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch: texts are long, so a batch of the default 10,000 rows could fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def doc_key(column: str = "doc_id") -> Column:
+    """A doc_id as a join key, null ids included."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def slices(frames, rows: int = ROWS, texts: str | None = None, characters: int = 1_000_000):
+    """Frames of at most so many rows, so that what a task makes of them stays small.
+
+    With the name of a column of texts, also of no more than so many characters, but for a single longer text.
+    """
+    for frame in frames:
+        size = [0] * len(frame) if texts is None else frame[texts].str.len().fillna(0).tolist()
+        low, held = 0, 0
+        for k, n in enumerate(size):
+            if k > low and (k - low >= rows or held + n > characters):
+                yield frame.iloc[low:k]
+                low, held = k, 0
+            held += n
+        if low < len(frame):
+            yield frame.iloc[low:]

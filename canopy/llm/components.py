@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from canopy.llm.common import drop_table, materialize
@@ -30,21 +30,22 @@ def grouped(frames, keys: list[str]):
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and a mark of their set, taken while they are written."""
+    seen = Observation()
+    count, mix = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("mix")
+    return materialize(edges.observe(seen, count, mix)), (seen.get["n"], seen.get["mix"])
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node in links(a long, b long).
 
     Large-star and small-star rounds: each is two aggregations to a minimum and two joins, and no neighbour list is
-    ever gathered. Links may repeat, and may point either way; loops are ignored.
+    ever gathered. Links may repeat, and may point either way; loops are ignored. A round that changes anything points
+    some node at a smaller one and none at a larger one, so that the rounds end by themselves.
     """
-    edges = materialize(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    mark = _mark(edges)
-    for _ in range(most_rounds):
+    edges, mark = _marked(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -57,12 +58,9 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        before, edges = edges, materialize(small)
+        before, last = edges, mark
+        edges, mark = _marked(small)
         drop_table(before)
-        now = _mark(edges)
-        if now == mark:
+        if mark == last:
             break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

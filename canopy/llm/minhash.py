@@ -1,21 +1,27 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A signature is cut into trees. Each tree sorts documents by its own run of hashes; documents whose labels share a long
-enough prefix are neighbours. The prefix starts short and grows only in regions that hold too many documents, so dense
-regions are regions are cut finer than sparse ones. Inside a region, links are confirmed on the full shingle sets. A lower bound on
-similarity gets more and shallower trees, so that at full depth a link at the bound has a chance of at most MISSED to be
-in no region: 16 trees of 6 hashes for 85 percent, 19 of 5 for 80.
-
-Only the components of the links are asked for, so a region is searched breadth first: a document that is reached is
-compared with those not reached yet. A group of copies costs about one comparison a document and no pair is ever
-written. Regions that stay too large at full depth are dealt into chunks; after a first pass, the documents outside a
-region's main component are compared with all chunks of it, block by block, which finds every link that the first pass
-could have missed.
+A signature is cut into trees. Each tree orders documents by its own label, a run of hashes; documents whose labels share
+a long enough prefix stand together there and are neighbours. The prefix starts short and grows only in regions that hold
+too many documents, so dense regions are cut finer than sparse ones. A lower bound on similarity gets more and shallower
+trees, so that at full depth a link at the bound has a chance of at most MISSED to be in no region: 16 trees of 6 hashes
+for 85 percent, 19 of 5 for 80.
+
+Inside a region documents come in the order of their labels. They are compared by sketches, 8 bits of each hash: a link
+at the bound shows fewer than `needed` equal ones with a chance of about 1e-9. What remains are candidate clusters,
+usually of a few documents. Only they get their texts, once each, and links are confirmed on the full shingle sets.
+
+Only the components of links are asked for, so regions and clusters are searched breadth first: a document that is
+reached is compared with those not reached yet. A group of copies costs about one comparison a document and no pair is
+ever written. Those that are too large for one task are dealt into chunks; after a first pass the documents outside the
+main component are compared with all chunks, block by block and only across components, which finds every link that the
+first pass could have missed.
 
 Documents with equal shingle sets are one node from the start. Words are runs of non-blank bytes (space, \\t to \\r)
-after lower-casing A-Z; a set holds the distinct five-word shingles, or the whole sequence of a shorter text.
-Null and blank texts have the empty set and are linked with nothing. Rows that share a doc_id are one document. Null
-doc_ids share one node as well. Other columns are ignored.
+after lower-casing A-Z; a set holds the distinct five-word shingles, or the whole sequence of a shorter text, by 64-bit
+hashes of words and shingles. Null and blank texts have the empty set and are linked with nothing. Every row is a
+document of its own, those that repeat a doc_id and those without one too. component_id is the smallest doc_id in a
+component, null if it holds none; kept says that the row has that id, and for a component without ids marks one row.
+An empty table gives no rows. Other columns are ignored, whatever their names, or carried through by keep_one().
 """
 
 from __future__ import annotations
@@ -26,24 +32,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from canopy.llm.common import NO_ID, batches, materialize
+from canopy.llm.common import drop_table, materialize
 from canopy.llm.components import connected, grouped
 
-WORDS = 5
+WORDS, PERCENT = 5, 80
 #: Hashes of a signature, those of a tree at most, and depths before the last.
 HASHES, LONGEST, FIRST_DEPTHS = 96, 6, (3, 4)
 MISSED = 0.0006
-#: A region has at most so many documents and words; larger ones go deeper, and in the end are dealt into chunks.
+#: A task compares at most so many documents and words; larger groups are dealt into chunks.
 REGION_DOCS, REGION_WORDS = 4096, 4_000_000
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
-_LABEL = _rng.integers(1, 2**63, LONGEST, dtype=np.uint64) | np.uint64(1)
-_TREE = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
 
 
 def depths_for(percent: int) -> tuple[int, ...]:
@@ -53,6 +56,12 @@ def depths_for(percent: int) -> tuple[int, ...]:
     return (*(d for d in FIRST_DEPTHS if d < last), last)
 
 
+def needed(percent: int) -> int:
+    """Equal sketch bytes that a link has but for six standard deviations."""
+    p = percent / 100
+    return max(1, int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -63,9 +72,9 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
-        self[word] = found = xxhash.xxh32_intdigest(word)
+        self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
 
@@ -74,7 +83,7 @@ _word_hash = _WordHash()
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -82,12 +91,11 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    w = words.astype(np.uint64)
     if n < WORDS:
-        return _mix((w * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _ODD[0])
-    total = w[: n - WORDS + 1] * _ODD[0]
+        return _mix((words * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _ODD[0])
+    total = words[: n - WORDS + 1] * _ODD[0]
     for k in range(1, WORDS):
-        total = total + w[k : n - WORDS + 1 + k] * _ODD[k]
+        total = total + words[k : n - WORDS + 1 + k] * _ODD[k]
     return np.unique(_mix(total))
 
 
@@ -96,63 +104,49 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(shingles), 2048):
         part = shingles[at : at + 2048, None] * _A + _B
         np.minimum(least, part.min(axis=0), out=least)
-    return least >> np.uint64(32)
-
-
-def forest_keys(shingles: np.ndarray, depths) -> list[np.ndarray]:
-    """For each depth, the key of the label's prefix in every tree."""
-    trees, longest = HASHES // depths[-1], depths[-1]
-    labels = signature(shingles)[: trees * longest].reshape(trees, longest) * _LABEL[:longest]
-    sums = np.cumsum(labels, axis=1, dtype=np.uint64)
-    return [_mix(sums[:, d - 1] + _TREE[:trees] + np.uint64(d)).view(np.int64) for d in depths]
-
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def _sketched(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        words = word_hashes(t)
+        shingles = shingle_set(words)
+        if len(shingles):
+            own = signature(shingles)
+            digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+            rows.append((len(shingles), len(words), digest, own.astype(">u4").tobytes(), own.astype(np.uint8).tobytes()))
+        else:
+            rows.append((0, 0, None, None, None))
+    return pd.DataFrame(rows, columns=["n_shingles", "n_words", "digest", "signature", "sketch"])
 
-def _sketch(depths):
-    names = [f"k{d}" for d in depths]
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                words = word_hashes(text)
-                shingles = shingle_set(words)
-                keys = forest_keys(shingles, depths) if len(shingles) else [np.zeros(0, np.int64)] * len(depths)
-                digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
-                rows.append((doc_id, len(shingles), len(words), digest, words.tobytes(), *keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "n_words", "digest", "words", *names])
+class _Sketches:
+    """Sketches of a region's documents, compared by the number of equal bytes."""
 
-    return run
+    def __init__(self, payloads: list[bytes], percent: int):
+        self.table, self.needed = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), HASHES), needed(percent)
 
-
-def sketches(docs: DataFrame, depths) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("n_shingles", T.LongType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("digest", T.StringType()),
-            T.StructField("words", T.BinaryType()),
-            *(T.StructField(f"k{d}", T.ArrayType(T.LongType())) for d in depths),
-        ]
-    )
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.mapInPandas(_sketch(depths), schema)
+    def linked(self, one: int, others: np.ndarray) -> np.ndarray:
+        return others[(self.table[others] == self.table[one]).sum(axis=1) >= self.needed]
 
 
-class _Region:
-    """Shingle sets of a region's documents, laid out for counting one set's overlap with all others."""
+class _Sets:
+    """Shingle sets of a cluster's documents, laid out for counting one set's overlap with all others."""
 
-    def __init__(self, words: list[bytes]):
-        sets = [shingle_set(np.frombuffer(w, np.uint32)) for w in words]
+    def __init__(self, payloads: list[str], percent: int):
+        sets = [shingle_set(word_hashes(t)) for t in payloads]
+        self.percent = percent
         self.size = np.array([len(s) for s in sets], np.int64)
         self.edge = np.concatenate(([0], np.cumsum(self.size)))
         distinct, self.shingle = np.unique(np.concatenate(sets), return_inverse=True)
         self.has = np.zeros(len(distinct), bool)
 
-    def linked(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
+    def linked(self, one: int, others: np.ndarray) -> np.ndarray:
         """Which of the others (positions) have at least `percent` of Jaccard similarity with one."""
         own = self.shingle[self.edge[one] : self.edge[one + 1]]
         self.has[own] = True
+        percent = self.percent
         least, most = self.size[one] * percent / 100, self.size[one] * 100 / percent
         others = others[(self.size[others] >= least) & (self.size[others] <= most)]
         if len(others) == len(self.size):
@@ -168,15 +162,14 @@ class _Region:
         return others[100 * hits >= percent * (self.size[one] + self.size[others] - hits)]
 
 
-def region_stars(ids: list[int], words: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """(document, smallest document of its component within the region), breadth first."""
-    region, stars = _Region(words), []
-    rest = np.arange(len(ids))
+def stars_of(ids: list[int], compared) -> list[tuple[int, int]]:
+    """(document, smallest document of its component), breadth first in the order in which the documents stand."""
+    stars, rest = [], np.arange(len(ids))
     while len(rest) > 1:
         queue, members = [int(rest[0])], [int(rest[0])]
         rest = rest[1:]
         while queue and len(rest):
-            found = region.linked(queue.pop(), rest, percent)
+            found = compared.linked(queue.pop(0), rest)
             rest = np.setdiff1d(rest, found, assume_unique=True)
             queue += found.tolist()
             members += found.tolist()
@@ -185,111 +178,169 @@ def region_stars(ids: list[int], words: list[bytes], percent: int) -> list[tuple
     return stars
 
 
-def _stars(percent):
+def _stars(kind, percent):
     def run(frames):
         for group in grouped(frames, ["bucket", "chunk"]):
-            yield pd.DataFrame(region_stars(group["id"].tolist(), group["words"].tolist(), percent), columns=["a", "b"], dtype="int64")
+            if len(group) > 1:
+                stars = stars_of(group["node"].tolist(), kind(group["payload"].tolist(), percent))
+                yield pd.DataFrame(stars, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _block_links(percent):
-    """Links between the documents asked about and a chunk: one star for each of the former."""
+def block_links(ids: np.ndarray, asks: np.ndarray, component: np.ndarray, compared) -> list[tuple[int, int]]:
+    """Links between the documents that ask and the others, across components only: one for each two that they join."""
+    out, others = [], np.flatnonzero(~asks)
+    _, root = np.unique(component, return_inverse=True)
+    for k in np.flatnonzero(asks):
+        apart = others[root[others] != root[k]]
+        if not len(apart):
+            continue
+        found = compared.linked(int(k), apart)
+        joined, first = np.unique(root[found], return_index=True)
+        out += [(int(ids[k]), int(ids[j])) for j in found[first]]
+        root[np.isin(root, joined)] = root[k]
+    return out
 
+
+def _block_links(kind, percent):
     def run(frames):
         for group in grouped(frames, ["bucket", "asked", "chunk"]):
-            ids, asks = group["id"].tolist(), group["asks"].to_numpy(bool)
-            region, out = _Region(group["words"].tolist()), []
-            others = np.flatnonzero(~asks)
-            for k in np.flatnonzero(asks):
-                out += [(ids[k], ids[j]) for j in region.linked(int(k), others, percent) if ids[j] != ids[k]]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            asks = group["asks"].to_numpy(bool)
+            if asks.any() and not asks.all():
+                made = kind(group["payload"].tolist(), percent)
+                links = block_links(group["node"].to_numpy(np.int64), asks, group["component"].to_numpy(np.int64), made)
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _regions(entries: DataFrame, depths, most_docs: int, most_words: int) -> DataFrame:
-    """id, bucket, chunk, chunks: every document's regions; a region found by several trees counts once."""
+def _search(members: DataFrame, payloads: DataFrame, kind, percent: int) -> tuple[DataFrame, bool]:
+    """Links (a, b) that span the components within every bucket of members(bucket, chunk, chunks, place, node).
+
+    The second value tells whether they are stars around the smallest node of each, as where no bucket has many chunks.
+    """
+    stars = materialize(
+        members.join(payloads, "node")
+        .repartition("bucket", "chunk")
+        .sortWithinPartitions("bucket", "chunk", "place", "node")
+        .select("bucket", "chunk", "node", "payload")
+        .mapInPandas(_stars(kind, percent), "a long, b long")
+        .distinct()
+    )
+    large = members.where("chunks > 1")
+    if large.isEmpty():
+        return stars, True
+    component = connected(stars)
+    known = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = materialize(known.select("bucket", "chunk", "chunks", "node", "component"))
+    counts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"))
+    rest = known.join(main, "bucket").where("component <> main").withColumn("asked", F.col("chunk"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    asking = rest.select("bucket", "asked", every, "node", "component", F.lit(True).alias("asks"))
+    answering = known.join(rest.select("bucket", "asked").distinct(), "bucket")
+    answering = answering.select("bucket", "asked", "chunk", "node", "component", F.lit(False).alias("asks"))
+    blocks = asking.unionByName(answering).join(payloads, "node")
+    found = (
+        blocks.repartition("bucket", "asked", "chunk")
+        .sortWithinPartitions("bucket", "asked", "chunk")
+        .select("bucket", "asked", "chunk", "node", "component", "asks", "payload")
+        .mapInPandas(_block_links(kind, percent), "a long, b long")
+    )
+    return stars.unionByName(found), False
+
+
+def _chunks(docs: int, words: int):
+    """How many chunks a group of n documents and w words is dealt into."""
+    return F.greatest(F.ceil(F.col("n") / docs), F.ceil(F.col("w") / words)).alias("chunks")
+
+
+def _regions(nodes: DataFrame, depths, most_docs: int, most_words: int) -> DataFrame:
+    """bucket, chunk, chunks, place (the label), node: every document's regions; one found by several trees counts once."""
+    trees, wide = HASHES // depths[-1], 4 * depths[-1]
+    entries = nodes.select("node", "n_words", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    entries = entries.select("node", "n_words", "tree", F.substring("signature", F.col("tree") * wide + 1, F.lit(wide)).alias("label"))
+    key = lambda d: F.xxhash64("tree", F.substring("label", 1, 4 * d))
     placed, pending = None, entries
     for d in depths:
+        at = pending.withColumn("bucket", key(d))
         sizes = materialize(
-            pending.groupBy(F.col(f"k{d}").alias("bucket"))
+            at.groupBy("bucket")
             .agg(
                 F.count("*").alias("n"),
                 F.sum("n_words").alias("w"),
-                F.min("id").alias("low"),
-                F.max("id").alias("high"),
-                F.bit_xor(F.xxhash64("id")).alias("same"),
+                F.min("node").alias("low"),
+                F.max("node").alias("high"),
+                F.bit_xor(F.xxhash64("node")).alias("same"),
             )
             .where("n > 1")
-            .withColumn("chunks", F.greatest(F.ceil(F.col("n") / most_docs), F.ceil(F.col("w") / most_words)))
+            .withColumn("chunks", _chunks(most_docs, most_words))
         )
         last = d == depths[-1] or sizes.where("chunks > 1").isEmpty()
-        # a table for the regions that stay at this depth
         stay = (sizes if last else sizes.where("chunks = 1")).groupBy("n", "low", "high", "same", "chunks").agg(F.min("bucket").alias("bucket"))
-        here = pending.join(stay, F.col(f"k{d}") == F.col("bucket")).select(
-            "id", "bucket", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "chunks"
-        )
+        here = at.join(stay.select("bucket", "chunks"), "bucket")
+        here = here.select("bucket", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks", F.col("label").alias("place"), "node")
         placed = here if placed is None else placed.unionByName(here)
         if last:
-            break
-        pending = pending.join(sizes.where("chunks > 1").select(F.col("bucket").alias(f"k{d}")), f"k{d}", "left_semi")
-    return placed
+            return placed
+        pending = at.join(sizes.where("chunks > 1").select("bucket"), "bucket", "left_semi").drop("bucket")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, depths=None, region_docs: int = REGION_DOCS, region_words: int = REGION_WORDS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    batches(docs.sparkSession, 500)
+def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most_words: int) -> DataFrame:
+    """row_no, row, doc_id, n_shingles, component_id, lead (the row_no of the component's first row) for every row."""
     depths = depths or depths_for(percent)
-    table = materialize(sketches(docs, depths))
-    full = table.where("n_shingles > 0")
-    names = [f"k{d}" for d in depths]
-    # equal sets have equal keys, so that any row can speak for its set
-    nodes = full.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), *(F.first(n).alias(n) for n in names)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"))
+    sketch = F.pandas_udf(_sketched, "n_shingles long, n_words long, digest binary, signature binary, sketch binary")
+    table = materialize(rows.withColumn("s", sketch(F.col("row").getField("text").cast("string"))).select("row_no", "doc_id", "row", "s.*"))
+    # equal sets have equal signatures, so that any row can speak for its set; ids come before null ids
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("lead")
+    nodes = table.where("n_shingles > 0").groupBy("digest").agg(
+        lead, F.count("*").alias("rows"), F.max("n_words").alias("n_words"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
-    entries = materialize(nodes.select("id", "n_words", F.explode(F.arrays_zip(*names)).alias("k")).select("id", "n_words", "k.*"))
-    regions = materialize(_regions(entries, depths, region_docs, region_words))
-    words = full.select(F.col("doc_id").alias("id"), "words")
-    # one plan at every size: a broadcast of the regions would have no bound
-    placed = regions.hint("merge").join(words, "id")
-    links = materialize(
-        placed.repartition("bucket", "chunk")
-        .sortWithinPartitions("bucket", "chunk")
-        .select("bucket", "chunk", "id", "words")
-        .mapInPandas(_stars(percent), "a long, b long")
-        .distinct()
+    nodes = materialize(nodes.withColumn("node", F.col("lead.row_no")))
+    regions = materialize(_regions(nodes, depths, most_docs, most_words))
+    candidates = connected(_search(regions, nodes.select("node", F.col("sketch").alias("payload")), _Sketches, percent)[0])
+    drop_table(regions)
+    # every candidate cluster with its smallest node, which the components do not list
+    member = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
+    member = member.join(nodes.select("node", "n_words"), "node")
+    sizes = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    sizes = sizes.select(F.col("component").alias("bucket"), _chunks(most_docs, most_words))
+    clusters = materialize(
+        member.withColumnRenamed("component", "bucket")
+        .join(sizes, "bucket")
+        .select("bucket", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks", F.col("node").alias("place"), "node")
     )
-    large = regions.where("chunks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_rest_links(large, words, connected(links), percent))
-    component = connected(links)
-    groups = nodes.select("digest", "id").join(component, F.col("id") == F.col("node"), "left")
-    groups = groups.select("digest", F.coalesce("component", "id").alias("component"))
-    out = table.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    real = lambda c: F.nullif(c, F.lit(NO_ID))
+    texts = table.select(F.col("row_no").alias("node"), F.col("row").getField("text").cast("string").alias("payload"))
+    links, stars = _search(clusters, texts, _Sets, percent)
+    component = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if stars else connected(links)
+    # what rows can't tell by themselves: sets that several rows have or that are linked
+    rooted = nodes.select("digest", "node", "lead", "rows").join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    firsts = rooted.join(component.select(F.col("component").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("lead").alias("first"))
+    groups = rooted.join(firsts, "root", "left").where("rows > 1 OR first IS NOT NULL")
+    groups = materialize(groups.select("digest", F.coalesce("first", "lead").alias("first")))
+    out = table.select("row_no", "row", "doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept")
+        "row_no",
+        "row",
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        F.coalesce("first.row_no", "row_no").alias("lead"),
     )
 
 
-def _rest_links(large: DataFrame, words: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Links of the documents outside the main component of a region that was dealt into chunks."""
-    known = large.join(component, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    known = materialize(known.drop("node"))
-    counts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"))
-    rest = known.join(main, "bucket").where("component <> main").withColumn("asked", F.col("chunk"))
-    asking = rest.select("bucket", "asked", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", F.lit(True).alias("asks"))
-    asked = rest.select("bucket", "asked").distinct()
-    answering = large.join(asked, "bucket").select("bucket", "asked", "chunk", "id", F.lit(False).alias("asks"))
-    blocks = asking.unionByName(answering).hint("merge").join(words, "id")
-    return (
-        blocks.repartition("bucket", "asked", "chunk")
-        .sortWithinPartitions("bucket", "asked", "chunk")
-        .select("bucket", "asked", "chunk", "id", "asks", "words")
-        .mapInPandas(_block_links(percent), "a long, b long")
-    )
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, depths=None, region_docs: int = REGION_DOCS, region_words: int = REGION_WORDS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    found = _components(docs, F.struct(F.col("text")), percent, depths, region_docs, region_words)
+    kept = F.when(F.col("component_id").isNull(), F.col("row_no") == F.col("lead")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, region_docs: int = REGION_DOCS, region_words: int = REGION_WORDS) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id; of rows repeated as they are, one stays."""
+    found = _components(docs, F.struct("*"), percent, None, region_docs, region_words)
+    return found.where("row_no = lead").select("row.*")

@@ -45,7 +45,7 @@ def op9_seeded_alignment(spark, sf_dir):
 
 
 def op10_minhash_forest(spark, sf_dir):
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries():

@@ -54,16 +54,58 @@ def corpus(seed):
 def test_against_brute_force(docs_of, region):
     """The small region size sends the star through deeper prefixes, chunks, and blocks of what is left."""
     rows = corpus(region)
-    found = minhash.near_duplicates(docs_of(rows).withColumnRenamed("lang", "bucket"), region_docs=region).collect()
+    found = minhash.near_duplicates(docs_of(rows).withColumnRenamed("lang", "bucket"), 85, region_docs=region).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute(rows)
 
 
 def test_odd_tables(docs_of):
-    assert minhash.near_duplicates(docs_of([])).count() == 0
+    assert minhash.near_duplicates(docs_of([])).count() == 0 == minhash.keep_one(docs_of([])).count()
     text = "a b c d e f g h i j"
-    rows = [(7, text), (7, text), (None, text), (3, text), (9, "x" * 200_000 + " y" * 3)]
-    found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs_of(rows)).collect())
-    assert found == [("3", "None", False), ("7", "None", False), ("7", "None", False), ("9", "9", True), ("None", "None", True)]
+    rows = [(7, text), (7, text), (None, text), (3, text), (9, "x" * 200_000 + " y" * 3), (None, "q w e r t y"), (None, "q w e r t y"), (5, None), (5, ""), (None, None)]
+    docs = docs_of(rows).withColumnsRenamed({"lang": "a.b", "source": "Row_No"})
+    found = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    three = [("7", "3", False), ("7", "3", False), ("None", "3", False), ("3", "3", True)]
+    no_ids = [("None", "None", True), ("None", "None", False)]
+    assert found == sorted(three + no_ids + [("9", "9", True), ("5", "5", True), ("5", "5", True), ("None", "None", True)])
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r["doc_id"], (r["text"] or "")[:3])) for r in kept.collect()) == sorted(str(x) for x in [(3, "a b"), (9, "xxx"), (None, "q w"), (5, ""), (5, ""), (None, "")])
+
+
+def test_many_rows_without_an_id(docs_of):
+    """Texts that share an id, or have none, are documents of their own."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(1500)]
+    rows = [(None if k % 2 else 1, t) for k, t in enumerate(texts)] + [(2, texts[0]), (None, texts[1])]
+    out = minhash.near_duplicates(docs_of(rows)).collect()
+    assert sum(r["component_id"] is None for r in out) == 751 and sum(r["kept"] for r in out) == 1500
+    assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] == 2] == [(1, False)]
+
+
+def test_blocks_join_every_component():
+    """Block links find what brute force finds between components that a first pass left apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = 40
+        near = np.triu(rng.random((n, n)) < 0.05, 1)
+        near |= near.T
+
+        class Given:
+            def linked(self, one, others):
+                return others[near[one, others]]
+
+        asks, component = np.arange(n) < 15, np.arange(n) // rng.integers(1, 4)
+        links = minhash.block_links(np.arange(n), asks, component, Given())
+        assert all(near[a, b] for a, b in links)
+        want, got = set(), set()
+        for edges, out in ((zip(*np.nonzero(near & asks[:, None] & ~asks[None])), want), (links, got)):
+            root = component.copy()
+            for a, b in edges:
+                root[root == root[a]] = root[b]
+            out |= {(i, j) for i in range(n) for j in range(n) if root[i] == root[j]}
+        assert want == got
 
 
 def test_stage_links_from_80_percent(spark, docs_of):
@@ -84,7 +126,7 @@ def test_stage_links_from_80_percent(spark, docs_of):
             copies.add(2 * k + 1)
             between += 100 * len(a & b) < 85 * len(a | b)
     assert between > 50 and len(copies) < 300
-    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "").collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows).withColumnRenamed("lang", "a.b"), "").collect()}
     dropped = {i for i, _ in rows} - left
     assert dropped <= copies and len(dropped) >= 0.99 * len(copies)
 
