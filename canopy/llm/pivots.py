@@ -11,11 +11,15 @@ order of the nearest is less stable, so the number of probes grows with their lo
 blocks, and tasks hold one block of lookups and one of stored vectors; a block gives counts and a spanning star of what
 is linked, never pairs. Vectors that are equal bit for bit are one, with a multiplicity.
 
-Pivots are fitted on a bounded sample (2 * MOST_PIVOTS vectors, those of the smallest hash) and kept apart, so that the
-members of a dense group agree on theirs; every vector is indexed. Null,
-zero and empty vectors, and those with null or non-finite components, link with nothing and are components of their own;
-vectors of different lengths never link. Rows that share a vec_id are one vector for component_id; a null vec_id is
-reported as null. An empty table gives no rows. Extra columns, labels among them, are ignored.
+Pivots are fitted on a bounded sample (about 2 * MOST_PIVOTS vectors of each length, chosen by hash) and kept apart, so
+that the members of a dense group agree on theirs; every vector is indexed. The pivots of the commonest lengths are
+broadcast, MOST_BROADCAST bytes of them at most; vectors of other lengths meet their pivots in the tasks that a shuffle by
+length deals them to. Components keep the precision they come in, single or double, and are compared in double precision.
+
+Null, zero and empty vectors, and those with null or non-finite components, link with nothing and are components of their
+own; vectors of different lengths never link. Every row counts as a vector, also those that repeat a vec_id: n_links counts
+rows, and component_id is the smallest vec_id of a component, where a null vec_id, reported as null, counts as smallest.
+An empty table gives no rows. Extra columns, labels among them, are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm.common import NO_ID, batches, materialize
+from canopy.llm.common import NO_ID, doc_key, materialize
 from canopy.llm.components import connected, grouped
 
 MOST_PIVOTS, LEAST_PIVOTS, VECTORS_A_PIVOT = 4096, 16, 100
 PROBES, SHARED = 8, 2
 BLOCK = 2048
+MOST_BROADCAST = 256 << 20
+#: Vectors of one length that meet their pivots in one task, where pivots aren't broadcast.
+DEALT = 100_000
 
 
 def probes_for(pivots: int) -> int:
@@ -41,20 +48,23 @@ def probes_for(pivots: int) -> int:
     return PROBES + 2 * max(0, math.ceil(math.log2(max(pivots, 1) / 32)))
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _prepare(frames):
-    """The vector as bytes of 32-bit floats; null where it can't be compared."""
-    for frame in frames:
+def _prepare(kind: str):
+    """The vector as bytes; null where it can't be compared."""
+
+    def run(vectors: pd.Series) -> pd.Series:
         raw = []
-        for v in frame["embedding"]:
-            x = np.array([np.nan if c is None else c for c in v], np.float64).astype(np.float32) if v is not None else np.zeros(0, np.float32)
-            norm = float((x.astype(np.float64) ** 2).sum())
-            raw.append(x.tobytes() if len(x) and np.isfinite(norm) and norm > 0 else None)
-        yield pd.DataFrame({"vec_id": frame["vec_id"], "raw": pd.Series(raw, dtype=object)})
+        for v in vectors:
+            x = np.zeros(0) if v is None else np.array([np.nan if c is None else c for c in v], np.float64).astype(kind)
+            raw.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
+        return pd.Series(raw, dtype=object)
+
+    return F.pandas_udf(run, "binary")
 
 
 def spread(units: np.ndarray, many: int, apart: float = 0.7) -> np.ndarray:
@@ -80,21 +90,85 @@ def nearest(units: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(some, order, axis=1).astype(np.int32)
 
 
-def _describe(shared, probes):
-    schema = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("pivots", T.ArrayType(T.IntegerType()))])
+def pivots_of(raw: list[bytes], kind: str, n: int) -> np.ndarray:
+    """Pivots for n vectors, from a sample of them."""
+    many = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT)))
+    return spread(_unit(raw, kind), many)
+
+
+def _described(raw: list[bytes], kind: str, pivots: np.ndarray, probes: int | None) -> list[list[int]]:
+    return nearest(_unit(raw, kind), pivots, probes or probes_for(len(pivots))).tolist()
+
+
+def _describe(nodes: DataFrame, kind: str, probes: int | None) -> DataFrame:
+    """node, weight, raw, width and pivots, for vectors of every length."""
+    spark = nodes.sparkSession
+    wide = nodes.withColumn("width", (F.length("raw") / np.dtype(kind).itemsize).cast("int"))
+    share = F.pmod(F.xxhash64("raw"), F.lit(1 << 30)) / (1 << 30)
+    sizes = wide.groupBy("width").agg(F.count("*").alias("n"))
+    # the sample of a length; the largest share of it that may be needed is twice MOST_PIVOTS and a little more
+    sample = wide.join(sizes, "width").where(share * F.col("n") < 2.2 * MOST_PIVOTS).select("width", "n", "raw", share.alias("share"))
 
-    def run(raw: pd.Series) -> pd.DataFrame:
-        out = [None] * len(raw)
-        width = raw.map(len).to_numpy()
-        for w in np.unique(width):
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["share", "raw"])
+        n = int(frame["n"].iloc[0])
+        most = 2 * int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT)))
+        pivots = pivots_of([bytes(r) for r in frame["raw"].iloc[:most]], kind, n)
+        return pd.DataFrame({"width": frame["width"].iloc[:1].to_numpy(), "n": [n], "size": [pivots.nbytes], "table": [pivots.tobytes()]})
+
+    fitted = materialize(sample.groupBy("width").applyInPandas(fit, "width int, n long, size long, table binary"))
+    # the commonest lengths, as many as the bound allows and 1,000 at most
+    common, held = [], 0
+    for r in fitted.select("width", "size").orderBy(F.desc("n"), "width").limit(1000).collect():
+        if held + r["size"] <= MOST_BROADCAST:
+            common.append(r["width"])
+            held += r["size"]
+    tables = {r["width"]: np.frombuffer(bytes(r["table"])).reshape(-1, r["width"]) for r in fitted.where(F.col("width").isin(common)).collect()}
+    known = spark.sparkContext.broadcast(tables)
+
+    def describe(raw: pd.Series, width: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(raw), dtype=object)
+        for w in width.unique():
             rows = np.flatnonzero(width == w)
-            pivots = shared.value[int(w)]
-            near = nearest(_unit(raw.iloc[rows].tolist()), pivots, probes or probes_for(len(pivots)))
-            for k, r in enumerate(rows):
-                out[r] = near[k].tolist()
-        return pd.DataFrame({"width": (width // 4).astype(np.int32), "pivots": out})
+            for at, near in zip(rows, _described(raw.iloc[rows].tolist(), kind, known.value[int(w)], probes)):
+                out.iloc[at] = near
+        return out
 
-    return F.pandas_udf(run, schema)
+    columns = ["node", "weight", "raw", "width", "pivots"]
+    out = wide.where(F.col("width").isin(common)).withColumn("pivots", F.pandas_udf(describe, "array<int>")("raw", "width")).select(columns)
+    others = fitted.where(~F.col("width").isin(common))
+    if others.isEmpty():
+        return out
+    # behind the pivots of their length, dealt to so many tasks that none gets too much
+    dealt = others.select("width", "table", F.ceil(F.col("n") / DEALT).alias("deals"))
+    member = wide.join(dealt.select("width", "deals"), "width").select(
+        "width", F.pmod(F.xxhash64("raw"), "deals").alias("deal"), F.lit(1).alias("turn"), "node", "weight", "raw"
+    )
+    leading = dealt.select(
+        "width",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"),
+        F.lit(0).alias("turn"),
+        F.lit(0).cast("long").alias("node"),
+        F.lit(0).cast("long").alias("weight"),
+        F.col("table").alias("raw"),
+    )
+
+    def behind(frames):
+        pivots = None
+        for frame in frames:
+            out = []
+            for _, own in frame.groupby((frame["turn"] == 0).cumsum(), sort=False):
+                if own["turn"].iloc[0] == 0:
+                    pivots = np.frombuffer(bytes(own["raw"].iloc[0])).reshape(-1, int(own["width"].iloc[0]))
+                    own = own.iloc[1:]
+                if len(own):
+                    near = _described(own["raw"].tolist(), kind, pivots, probes)
+                    out.append(own[["node", "weight", "raw", "width"]].assign(pivots=near))
+            if out:
+                yield pd.concat(out)
+
+    dealt_out = leading.unionByName(member).repartition("width", "deal").sortWithinPartitions("width", "deal", "turn")
+    return out.unionByName(dealt_out.mapInPandas(behind, "node long, weight long, raw binary, width int, pivots array<int>"))
 
 
 def _lists(sets: np.ndarray, wide: int) -> np.ndarray:
@@ -104,7 +178,7 @@ def _lists(sets: np.ndarray, wide: int) -> np.ndarray:
     return table
 
 
-def _block(cosine, needed):
+def _block(cosine, needed, kind):
     """Counts and stars of a block: lookups (asks) against stored vectors of one list."""
 
     def run(frames):
@@ -114,7 +188,7 @@ def _block(cosine, needed):
                 continue
             look, store = group[asks], group[~asks]
             ids_a, ids_b = look["node"].to_numpy(np.int64), store["node"].to_numpy(np.int64)
-            x, y = _unit(look["raw"].tolist()), _unit(store["raw"].tolist())
+            x, y = _unit(look["raw"].tolist(), kind), _unit(store["raw"].tolist(), kind)
             sets_a, sets_b = np.stack(look["pivots"].tolist()), np.stack(store["pivots"].tolist())
             here, into = np.unique(np.concatenate((sets_a.ravel(), sets_b.ravel())), return_inverse=True)
             a = _lists(into[: sets_a.size].reshape(sets_a.shape), len(here))
@@ -159,21 +233,14 @@ def _block(cosine, needed):
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int | None = None, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
-    spark = vectors.sparkSession
-    batches(spark, 2000)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    table = materialize(rows.mapInPandas(_prepare, "vec_id long, raw binary"))
-    # equal vectors are one node, under the smallest of their ids
-    nodes = materialize(table.where("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
-    widths = {r["w"]: r["n"] for r in nodes.groupBy(F.length("raw").alias("w")).count().withColumnRenamed("count", "n").limit(64).collect()}
-    pivots = {}
-    for w, n in widths.items():
-        many = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT)))
-        drawn = nodes.where(F.length("raw") == w).orderBy(F.xxhash64("raw"), "raw").limit(2 * many).select("raw").collect()
-        pivots[w] = spread(_unit([bytes(r["raw"]) for r in drawn]), many)
-    known = spark.sparkContext.broadcast(pivots)
-    described = nodes.where(F.length("raw").isin([*widths])).withColumn("d", _describe(known, probes)("raw"))
-    described = materialize(described.select("node", "weight", "raw", "d.width", "d.pivots").withColumn("hash", F.abs(F.xxhash64("raw") % 1_000_003)))
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    rows = vectors.select(doc_key("vec_id").alias("vec_id"), _prepare(kind)(F.col("embedding").cast("array<double>")).alias("raw"))
+    table = materialize(rows)
+    # equal vectors are one node, under the smallest of their ids; ids may repeat, so that nodes have numbers of their own
+    nodes = table.where("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    described = materialize(_describe(nodes, kind, probes).withColumn("hash", F.abs(F.xxhash64("raw") % 1_000_003)))
     stored = described.withColumn("pivot", F.element_at("pivots", 1))
     looked = described.withColumn("pivot", F.explode("pivots"))
     size = lambda df, name: df.groupBy("width", "pivot").agg(F.ceil(F.count("*") / block).alias(name))
@@ -198,15 +265,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int | None
         .unionByName(answers.select(columns))
         .repartition(*keys)
         .sortWithinPartitions(*keys)
-        .mapInPandas(_block(cosine, shared), "node long, links long, other long")
+        .mapInPandas(_block(cosine, shared, kind), "node long, links long, other long")
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    groups = (
-        nodes.join(links, "node", "left")
-        .join(component, "node", "left")
-        .select("raw", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    rooted = nodes.select("node", "low").join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    groups = nodes.join(rooted.select("node", "root"), "node").join(lows, "root").join(links, "node", "left")
+    groups = materialize(groups.select("raw", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
     out = table.join(groups, "raw", "left")
     component = F.coalesce("component_id", "vec_id")
     real = lambda c: F.nullif(c, F.lit(NO_ID))

@@ -51,6 +51,19 @@ def test_odd_vectors(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("most", [256 << 20, 0])
+def test_many_lengths(spark, monkeypatch, most):
+    """80 lengths with two parallel vectors each, with pivots broadcast and by shuffle; in double precision."""
+    monkeypatch.setattr(pivots, "MOST_BROADCAST", most)
+    monkeypatch.setattr(pivots, "DEALT", 1)
+    rows = [(2 * w + k, [float(k + 1)] * w) for w in range(3, 83) for k in range(2)]
+    rows += [(500, [1e200, 1e200]), (501, [2e200, 2e200]), (502, [1.0, 1e-9]), (502, [1.0, 1e-9]), (503, [1.0, 2e-9])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumnRenamed("label", "raw")
+    out = [(r["vec_id"], r["n_links"], r["component_id"]) for r in pivots.near_duplicates(table).collect()]
+    assert all(n == 1 and c == i // 2 * 2 for i, n, c in out if i < 500)
+    assert sorted(x for x in out if x[0] >= 500) == [(500, 1, 500), (501, 1, 500), (502, 2, 502), (502, 2, 502), (503, 2, 502)]
+
+
 @pytest.mark.parametrize("many", [1024, 4096])
 def test_recall_with_many_pivots(spark, monkeypatch, many):
     """Pairs at the bound, none of them a pivot, as in a table of 100 vectors a pivot."""
