@@ -1,51 +1,52 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The words of every benchmark item give its seeds: n-grams, keyed by hash. Training texts are searched for all of them in
-one pass. Every document with a seed of an item is a candidate for it, however many documents hold that seed.
+The words of every benchmark item give its seeds: n-grams, keyed by hash; an item of fewer than n words has one, itself,
+and texts are searched for grams of its length as well. A text that holds a seed of an item is a candidate for it, however
+common the seed is.
 
 Candidates are aligned with the item, word by word (match 2, mismatch -1, gap -1), around the seeds. A pair is reported
-when the local alignment scores at least `least` of the score of a full match. Places that hold too few of the item's words
-to reach that score, as around a common phrase, are not aligned: the bound is exact, so nothing is lost. Documents meet items by
-joins on seed and id, and never all items at once: the seed table is broadcast only while the benchmark has at most
-MOST_BROADCAST words; a larger one is joined by shuffle.
-
-Null and empty texts hold no seed; a text or item of fewer than n words has one seed, itself. Rows that share a doc_id
-are one document: it is contaminated if one of them is. A null doc_id is reported as null, and such rows are dropped from
-clean output only if contaminated. An empty benchmark or an empty table gives no pairs. Extra columns don't matter.
+when the local alignment scores at least `least` of the score of a full match. Places that hold too few of the item's
+words to reach that score, as around a common phrase, are not aligned: the bound is exact, so nothing is lost.
+
+The benchmark is the query set: it is dealt into blocks of about MOST_WORDS words, each block is broadcast in turn, and all
+texts are searched for it where they lie. So nothing of the texts is shuffled or gathered, no seed is a key that could be
+hot, and a benchmark of any size has the same plan, with a scan for each block.
+
+Null, empty and wordless texts hold nothing. Every row is judged by itself: rows that repeat a doc_id, or have none, each
+give rows of their own, and only rows that hold an item leave clean output. Items that share an item_id are aligned one by
+one and reported once, with the best; those without an id are reported with a null one. Null and wordless items, an empty
+benchmark and an empty table give no pairs. An item of one word is found wherever the word is. Other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import NO_ID, batches, materialize
-
 SEED_WORDS, LEAST = 4, 0.5
-MOST_BROADCAST = 500_000
+#: Words of a block of the benchmark, on average: some 10 MB in a task.
+MOST_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _words = re.compile(r"\w+").findall
+_FOUND = "array<struct<item_id long, score long, share double, first_word long, last_word long>>"
 
 
 def words(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
+        import xxhash
+
         if len(self) > 500_000:
             self.clear()
-        self[word] = found = _hash(word)
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
 
 
@@ -59,13 +60,13 @@ def hashes(text: str | None) -> np.ndarray:
 
 
 def seeds(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n-gram at every position; a shorter text is one gram."""
-    if not len(word_hashes):
+    """Hash of the n-gram at every position."""
+    many = len(word_hashes) - n + 1
+    if many <= 0:
         return np.zeros(0, np.int64)
-    n = min(n, len(word_hashes))
-    total = np.zeros(len(word_hashes) - n + 1, np.uint64)
+    total = np.zeros(many, np.uint64)
     for k in range(n):
-        total = (total ^ (total >> np.uint64(29))) * _TURN[k % 5] + word_hashes[k : len(word_hashes) - n + 1 + k]
+        total = (total ^ (total >> np.uint64(29))) * _TURN[k % 5] + word_hashes[k : many + k]
     return total.view(np.int64)
 
 
@@ -100,103 +101,116 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def benchmark_seeds(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, seed, for every distinct seed of every item."""
-
-    def run(frames):
-        for frame in frames:
-            rows = [(i, int(s)) for i, t in zip(frame["item_id"], frame["text"]) for s in set(seeds(hashes(t), n).tolist())]
-            yield pd.DataFrame(rows, columns=["item_id", "seed"], dtype="int64")
-
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInPandas(run, "item_id long, seed long").distinct()
-
-
-def _scan(n: int, known):
-    """Seeds of every document; with known, only those among the benchmark's."""
-
-    def run(frames):
-        wanted = None if known is None else known.value
-        for frame in frames:
-            docs, found = [], []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                at = seeds(hashes(text), n)
-                if wanted is not None and len(at):
-                    place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
-                    at = at[wanted[place] == at]
-                at = np.unique(at)
-                found.append(at)
-                docs.append(np.full(len(at), doc_id, np.int64))
-            yield pd.DataFrame({"doc_id": np.concatenate(docs) if docs else [], "seed": np.concatenate(found) if found else []}, dtype="int64")
-
-    return run
-
-
-def _alignments(n: int, least: float):
-    def run(frames):
-        items: dict[int, tuple] = {}
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                own = hashes(r.text)
-                at = seeds(own, n)
-                for item_id, item_text in zip(r.item_ids, r.item_texts):
-                    if item_id not in items:
-                        if len(items) > 20_000:
-                            items.clear()
-                        item = hashes(item_text)
-                        items[item_id] = (item, np.unique(seeds(item, n)))
-                    item, grams = items[item_id]
-                    hit = np.flatnonzero(np.isin(at, grams))
-                    if not len(hit):
-                        continue
-                    reach, needed = 2 * len(item), least * MATCH * len(item)
-                    best, edges = (0, 0, 0), np.flatnonzero(np.diff(hit) > reach)
-                    for low, high in zip(hit[np.concatenate(([0], edges + 1))], hit[np.concatenate((edges, [len(hit) - 1]))]):
-                        low = max(0, int(low) - reach)
-                        part = own[low : int(high) + reach + n]
-                        # each match takes a word of the item of its own
-                        if MATCH * np.isin(item, part).sum() < needed:
-                            continue
-                        score, start, end = align(part, item)
-                        if score > best[0]:
-                            best = (score, low + start, low + end)
-                    if best[0] >= needed:
-                        rows.append((r.doc_id, item_id, best[0], best[0] / (MATCH * len(item)), best[1], best[2]))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share", "first_word", "last_word"])
-
-    return run
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST) -> DataFrame:
+@dataclass
+class Items:
+    """A block of the benchmark; for each length of seeds, their sorted hashes and the items of each."""
+
+    ids: list[int | None]
+    texts: list[np.ndarray]
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    least: float
+
+    @classmethod
+    def of(cls, rows: list[tuple[int | None, str]], n: int, least: float) -> Items:
+        kept = [(i, h) for i, h in ((i, hashes(t)) for i, t in rows) if len(h)]
+        by_length: dict[int, list[int]] = {}
+        for k, (_, h) in enumerate(kept):
+            by_length.setdefault(min(n, len(h)), []).append(k)
+        grams = {}
+        for size, items in by_length.items():
+            own = [np.unique(seeds(kept[k][1], size)) for k in items]
+            every, of = np.concatenate(own), np.repeat(np.array(items), [len(x) for x in own])
+            order = np.argsort(every, kind="stable")
+            distinct, first = np.unique(every[order], return_index=True)
+            grams[size] = distinct, np.append(first, len(every)), of[order]
+        return cls([i for i, _ in kept], [h for _, h in kept], grams, least)
+
+    def hits(self, own: np.ndarray) -> dict[int, np.ndarray]:
+        """Positions in a text at which seeds of each item stand."""
+        out: dict[int, np.ndarray] = {}
+        for size, (known, first, of) in self.grams.items():
+            at = seeds(own, size)
+            if not len(at):
+                continue
+            place = np.minimum(np.searchsorted(known, at), len(known) - 1)
+            where = np.flatnonzero(known[place] == at)
+            if not len(where):
+                continue
+            low, many = first[place[where]], first[place[where] + 1] - first[place[where]]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            item, position = of[np.repeat(low, many) + step], np.repeat(where, many)
+            order = np.argsort(item, kind="stable")
+            item, position = item[order], position[order]
+            edges = np.flatnonzero(np.diff(item)) + 1
+            for part, k in zip(np.split(position, edges), item[np.concatenate(([0], edges))].tolist()):
+                out[k] = part
+        return out
+
+    def copies(self, own: np.ndarray, any_one: bool = False) -> list[tuple]:
+        """(item_id, score, share, first word, end word) of the items that a text holds; with any_one, of one of them."""
+        best: dict = {}
+        for k, hit in self.hits(own).items():
+            item = self.texts[k]
+            reach, least, found = 2 * len(item), self.least * MATCH * len(item), (0, 0, 0)
+            edges = np.flatnonzero(np.diff(hit) > reach)
+            for low, high in zip(hit[np.concatenate(([0], edges + 1))], hit[np.concatenate((edges, [len(hit) - 1]))]):
+                low = max(0, int(low) - reach)
+                part = own[low : int(high) + reach + SEED_WORDS]
+                # each match takes a word of the item of its own
+                if MATCH * np.isin(item, part).sum() < least:
+                    continue
+                score, start, end = align(part, item)
+                if score > found[0]:
+                    found = (score, low + start, low + end)
+            if found[0] >= least:
+                row = (self.ids[k], found[0], found[0] / (MATCH * len(item)), found[1], found[2])
+                key = ("no id", k) if row[0] is None else row[0]
+                if key not in best or (row[2], row[1]) > (best[key][2], best[key][1]):
+                    best[key] = row
+                if any_one:
+                    break
+        return list(best.values())
+
+
+def blocks(benchmark: DataFrame, n: int, least: float, most_words: int):
+    """The benchmark's items in blocks, broadcast one by one; texts of one item_id are in one block."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    many = max(1, -(-total // most_words))
+    block = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(many))
+    for b in range(many if total else 0):
+        rows = items.where(block == b).distinct().collect()  # a block of about most_words words
+        made = Items.of([(r["item_id"], r["text"]) for r in rows], n, least)
+        if made.ids:
+            yield spark.sparkContext.broadcast(made)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, item_id, score, share, first_word, last_word: documents that hold a copy, exact or edited, of an item."""
-    spark = docs.sparkSession
-    batches(spark, 500)
-    texts = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    wanted = materialize(benchmark_seeds(benchmark, n))
-    size = wanted.count()
-    known = None
-    if size <= MOST_BROADCAST:
-        known = spark.sparkContext.broadcast(np.sort(wanted.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)))
-        if not size:
-            texts = texts.where("false")
-    hits = texts.mapInPandas(_scan(n, known), "doc_id long, seed long")
-    if known is None:
-        hits = hits.join(wanted.select("seed").distinct(), "seed", "left_semi")
-    hits = materialize(hits)
-    pairs = hits.join(wanted, "seed").select("doc_id", "item_id").distinct()
-    items = benchmark.where("text IS NOT NULL").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("item_text"))
-    # a document has few items, an item may have a third of all documents: the document is the key
-    of_doc = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"), F.collect_list("item_text").alias("item_texts"))
-    both = materialize(of_doc).hint("merge").join(texts, "doc_id")
-    schema = "doc_id long, item_id long, score long, share double, first_word long, last_word long"
-    found = both.select("doc_id", "text", "item_ids", "item_texts").mapInPandas(_alignments(n, least), schema)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold an item."""
-    mark = "_canopy_doc"
-    found = contaminated(docs, benchmark, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(mark)).distinct()
-    keyed = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(materialize(found), mark, "left_anti").select(*(F.col(c) for c in docs.columns))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def search(known):
+        def copies(text: pd.Series) -> pd.Series:
+            return pd.Series([known.value.copies(hashes(t)) for t in text], dtype=object)
+
+        return rows.select("doc_id", F.explode(F.pandas_udf(copies, _FOUND)("text")).alias("found")).select("doc_id", "found.*")
+
+    out = rows.where("false").select("doc_id", F.inline(F.lit(None).cast(_FOUND)))
+    for known in blocks(benchmark, n, least, most_words):
+        out = out.unionByName(search(known))
+    return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, least: float = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
+    """docs without the rows that hold an item."""
+
+    def clean(known):
+        def run(text: pd.Series) -> pd.Series:
+            return pd.Series([not known.value.copies(hashes(t), any_one=True) for t in text], dtype=bool)
+
+        return F.pandas_udf(run, "boolean")
+
+    for known in blocks(benchmark, n, least, most_words):
+        docs = docs.where(clean(known)(F.col("text").cast("string")))
+    return docs
