@@ -1,105 +1,141 @@
 """Removal of repeated runs of lines, found by winnowing over line hashes.
 
-A passage may start in the middle of a line, so a physical line is cut at its sentence ends, and a sentence of more than
-LONG characters also behind every word whose checksum says so: these cuts depend on the word alone, so two copies have
-the same ones behind an edit. Below, "line" means such a part. Grams of consecutive lines with `gram_words` words are hashed, and every window of `window_words` words gives its
-smallest hash as fingerprint, so two texts that share a run of so many words in whole lines share a fingerprint of it.
-A fingerprint's occurrences
-join the first of them only, in order of (doc_id, text hash, position), never each other. A match is extended both ways
-as far as the two texts agree, trimmed to whole words, and runs of at least `min_words` words are cut out of the later
-text. The first occurrence of a passage therefore always stays.
-
-Null texts stay null and have no lines. Rows equal in doc_id and text count as one document and are treated alike, so
-neither empties the other; rows that share only the doc_id are documents of their own. Documents with nothing repeated
-come back unchanged, and a text that is wholly a repetition becomes empty; rows are never dropped. Other columns are
-kept as they are, whatever their names, but n_chars follows the text.
+Two kinds of line are hashed. Physical lines of at least LINE_WORDS words each stand for themselves. Passages that start
+or end in mid-line need smaller ones: a text is also cut behind every sentence end and behind every word whose hash says
+so (one in four), and since such a cut depends on the word alone, two copies have the same cuts. Of these parts, grams of
+consecutive ones with at least `gram_words` words are hashed, and every window of `window_words` words gives its smallest
+hash as fingerprint. So two texts that share a run of so many words in whole parts share a fingerprint of it, and two
+equal physical lines share theirs.
+
+A fingerprint's occurrences join the first of them only, in order of (doc_id, text hash, position), never each other. That
+loses nothing: what a fingerprint stands for is itself long enough to go. A match is extended both ways as far as the two
+texts agree and trimmed to whole words. It is cut out of the later text if it has `gram_words` words, or if it has whole
+physical lines, one of LINE_WORDS words among them, which are cut then. Shorter repetitions stay: they are headings,
+phrases and the common stock of a language, and holes in the middle of a line would hurt more than they save. The first
+occurrence of a passage always stays. Of a passage that an earlier text has as well, `window_words` words in whole parts
+never stay in full.
+
+A word is a run of non-blank characters; one of more than LONG_WORD characters counts as several, so that scripts without
+blanks are measured too. Null texts stay null and have no lines. Rows equal in doc_id and text count as one document and
+are treated alike, so neither empties the other; rows that share only the doc_id, or have none, are documents of their
+own (a null id comes first). Documents with nothing repeated come back unchanged, and a text that is wholly a repetition
+becomes empty; rows are never dropped. Other columns are kept as they are, whatever their names, but n_chars follows the
+text, and a column named like one of the report's gives way to it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from zlib import crc32
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import NO_ID, batches, drop_table, materialize
+from canopy.llm.common import ROWS, doc_key, drop_table, fresh, materialize, named, slices
 
-GRAM_WORDS, WINDOW_WORDS, MIN_WORDS = 12, 36, 50
-LONG = 160
+GRAM_WORDS, WINDOW_WORDS, LINE_WORDS = 20, 40, 12
+LONG_WORD = 16
 #: Later texts that meet a first text in one group.
 GROUP = 256
-_WORD = re.compile(r"\S+[ \t]*")
-_CUT = re.compile(r"\n|(?<=[.!?;:])[ \t]+")
-_DOC, _HASH, _RUNS = "_canopy_doc", "_canopy_hash", "_canopy_runs"
-
+#: By code point: blanks, and marks that end a sentence.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
+_END = np.array([chr(c) in ".!?;:" for c in range(128)])
+_CODE = np.random.default_rng(20240301).integers(1, 2**63, 1 << 16, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 2**64)
 
-def lines_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every non-blank line, sentence, or part of a long sentence."""
-    spans, at = [], 0
-    for low, high in [c.span() for c in _CUT.finditer(text)] + [(len(text), len(text))]:
-        if low - at > LONG:
-            for word in _WORD.finditer(text, at, low):
-                if crc32(word[0].rstrip().encode("utf-8", "surrogatepass")) % 8 == 0 and word.end() < low:
-                    spans.append((at, word.start() + len(word[0].rstrip())))
-                    at = word.end()
-        if low > at:
-            spans.append((at, low))
-        at = high
-    return spans
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
-def _hash(line: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
 
 
-def fingerprints(text: str, gram_words: int, window_words: int) -> list[tuple[int, int]]:
-    """(hash, start) of the least gram of every window, each place once.
+def _runs(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Hash of every run of words low..high, by prefix sums of a polynomial modulo 2^64."""
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+    return _mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
 
-    A gram is the fewest lines from its first one on that have gram_words words; a window, the grams that lie within the
-    fewest lines with window_words words. Grams keep short common lines from being fingerprints. Of equal grams in a
-    window, the one chosen before stays, else the last is taken, so that monotonous texts have few fingerprints.
-    """
-    spans = lines_of(text)
-    n = len(spans)
-    until = [0]
-    for s, e in spans:
-        until.append(until[-1] + text.count(" ", s, e) + 1)
-    hashes, ends, high = [], [], 0
-    for low in range(n):
-        while high < n and until[high] - until[low] < gram_words:
-            high += 1
-        if until[high] - until[low] < gram_words:
-            break
-        hashes.append(_hash(text[spans[low][0] : spans[high - 1][1]]))
-        ends.append(high)
-    out, to, last = [], 0, -1
-    for low in range(len(hashes)):
-        while to < len(hashes) and until[ends[to]] - until[low] <= window_words:
-            to += 1
-        if to == len(hashes) and until[n] - until[low] < window_words:
-            break
-        window = hashes[low : max(to, low + 1)]
-        least = min(window)
-        if last >= low and hashes[last] == least:
-            continue
-        last = low + len(window) - 1 - window[::-1].index(least)
-        out.append((least, spans[last][0]))
-    return out
 
+def fingerprints(texts: list[str], gram_words: int, window_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, hash, start) of every line of line_words words and of the least gram of every window.
 
-def _fingerprint_rows(gram_words, window_words):
+    A gram is the fewest parts from its first one on that have gram_words words; a window, the grams that lie within the
+    fewest parts with window_words words. Of equal grams in a window the last is taken, and while a chosen one is near an
+    equal one is not added, so that monotonous texts have few fingerprints. The texts are laid end to end, with a line
+    end between; no line, part, gram or window runs over it.
+    """
+    none = np.zeros(0, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.concatenate(([0], np.cumsum(size + 1)))
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.concatenate(([True], _BLANK[np.minimum(points, len(_BLANK) - 1)], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        return none, none, none
+    # words: a polynomial of their characters
+    longest = int((ends - starts).max())
+    inside = np.arange(len(points)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(points)]))))
+    inside = np.minimum(inside, longest)
+    letters = (_CODE[points & np.uint32(0xFFFF)] ^ (points >> np.uint32(16))) * _powers(_BASE, longest)[inside]
+    letters[blank[1:-1]] = 0
+    hashes = _mix(np.add.reduceat(letters, starts) + (ends - starts).astype(np.uint64))
+    until = np.concatenate(([0], np.cumsum((ends - starts + LONG_WORD - 1) // LONG_WORD)))
+    text_of = np.searchsorted(first, starts, side="right") - 1
+    up, down = _powers(_BASE, n), _powers(_INVERSE, n)
+    # lines: runs of words between line ends
+    line = np.unique(np.concatenate(([0], np.searchsorted(starts, np.flatnonzero(points == 10)), [n])))
+    long = np.flatnonzero(until[line[1:]] - until[line[:-1]] >= line_words)
+    lines = _mix(_runs(hashes, line[long], line[long + 1], up, down) + np.uint64(1))
+    # parts: from word `low` to before word `high`
+    cut = (hashes >> np.uint64(40)) % np.uint64(4) == 0
+    cut |= _END[np.minimum(points[ends - 1], len(_END) - 1)]
+    cut[line[1:] - 1] = True
+    high = np.flatnonzero(cut) + 1
+    low = np.concatenate(([0], high[:-1]))
+    of, begin, end = text_of[low], until[low], until[high]
+    parts = len(low)
+    reach = np.searchsorted(end, begin + gram_words)  # the part that fills the gram from a part on
+    whole = (reach < parts) & (of[np.minimum(reach, parts - 1)] == of)
+    grams = np.zeros(parts, np.uint64)
+    at = np.flatnonzero(whole)
+    grams[at] = _runs(hashes, low[at], high[reach[at]], up, down)
+    most = np.searchsorted(end, begin + window_words)
+    full = whole & (most < parts) & (of[np.minimum(most, parts - 1)] == of)
+    # a text of less than a window has one
+    full[whole & np.concatenate(([True], of[1:] != of[:-1]))] = True
+    final = np.searchsorted(of, of, side="right") - 1
+    place = np.arange(parts)
+    to = np.maximum(np.searchsorted(reach, np.minimum(most, final), side="right"), place + 1)
+    best, held = place.copy(), grams.copy()
+    for step in range(1, int((to - place)[full].max(initial=1))):
+        better = np.flatnonzero((place[:-step] + step < to[:-step]) & (grams[step:] <= held[:-step]))
+        best[better] = better + step
+        held[better] = grams[better + step]
+    chosen = np.unique(best[full])
+    if len(chosen):
+        own, since = grams[chosen], begin[chosen].tolist()
+        same = np.flatnonzero((own[1:] == own[:-1]) & (of[chosen[1:]] == of[chosen[:-1]])) + 1
+        keep = np.ones(len(chosen), bool)
+        for k in same.tolist():
+            if since[k] - since[k - 1] < window_words - gram_words:
+                keep[k], since[k] = False, since[k - 1]
+        chosen = chosen[keep]
+    word = np.concatenate((line[long], low[chosen]))
+    text = text_of[word]
+    return text, np.concatenate((lines, grams[chosen])).view(np.int64), starts[word] - first[text]
+
+
+def _fingerprint_rows(gram_words, window_words, line_words):
     def run(frames):
-        for frame in frames:
-            rows = [
-                (h - 2**63, doc, own, at)
-                for doc, own, text in zip(frame["doc"], frame["hash"], frame["text"])
-                for h, at in fingerprints(text, gram_words, window_words)
-            ]
-            yield pd.DataFrame(rows, columns=["fp", "doc", "hash", "at"], dtype="int64")
+        for frame in slices(frames, ROWS, "text"):
+            text, fp, at = fingerprints(frame["text"].tolist(), gram_words, window_words, line_words)
+            yield pd.DataFrame({"fp": fp, "doc": frame["doc"].to_numpy()[text], "hash": frame["hash"].to_numpy()[text], "at": at})
 
     return run
 
@@ -131,8 +167,12 @@ def _agree_before(a: str, i: int, b: str, j: int) -> int:
     return done
 
 
-def shared_runs(first: str, later: str, places: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Runs (start, end) of later around the places (there, in first) that first has as well, trimmed to whole words."""
+def _count(text: str) -> int:
+    return sum((len(w) + LONG_WORD - 1) // LONG_WORD for w in text.split())
+
+
+def shared_runs(first: str, later: str, places: list[tuple[int, int]], gram_words: int, line_words: int) -> list[tuple[int, int]]:
+    """Runs (start, end) of later around the places (there, in first) that first has as well and that are long enough to go."""
     out, reached = [], {}
     for at, there in sorted(places):
         if at < reached.get(at - there, 0):
@@ -146,24 +186,31 @@ def shared_runs(first: str, later: str, places: list[tuple[int, int]], min_words
         if end < len(later) and not later[end].isspace():
             while end > start and not later[end - 1].isspace():
                 end -= 1
-        if len(later[start:end].split()) >= min_words:
-            out.append((start, end))
+        if _count(later[start:end]) < gram_words:
+            # whole lines: from the first line start on, to the last line end
+            if later[:start].rpartition("\n")[2].strip():
+                start = later.find("\n", start, end) + 1 or end
+            if later[end:].partition("\n")[0].strip():
+                end = max(start, later.rfind("\n", start, end))
+            if not any(_count(row) >= line_words for row in later[start:end].split("\n")):
+                continue
+        out.append((start, end))
     return out
 
 
-def _run_rows(min_words):
+def _run_rows(gram_words, line_words):
     """Texts come in groups behind the first text that they match."""
 
     def run(frames):
         first = None
-        for frame in frames:
+        for frame in slices(frames):
             rows = []
             for r in frame.itertuples(index=False):
                 if r.leads:
                     first = r.text
                     continue
                 places = list(zip(r.here.tolist(), r.there.tolist()))
-                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(first, r.text, places, min_words)]
+                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(first, r.text, places, gram_words, line_words)]
             yield pd.DataFrame(rows, columns=["doc", "hash", "start", "end"], dtype="int64")
 
     return run
@@ -189,26 +236,25 @@ def _cut(text: pd.Series, runs: pd.Series) -> pd.Series:
 
 
 def repeated_runs(
-    docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, min_words: int = MIN_WORDS
+    docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, line_words: int = LINE_WORDS
 ) -> DataFrame:
     """doc, hash, runs: the runs (start, end in characters) that each document repeats from an earlier place."""
-    texts = (
-        docs.where("text IS NOT NULL")
-        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    )
-    fps = materialize(texts.mapInPandas(_fingerprint_rows(gram_words, window_words), "fp long, doc long, hash long, at long"))
-    # most fingerprints occur once: only the others go on
-    often = fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    every, fps = fps, materialize(fps.hint("merge").join(often, "fp"))
-    drop_table(every)
+    texts = docs.where("text IS NOT NULL").select(doc_key().alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    every = texts.mapInPandas(_fingerprint_rows(gram_words, window_words, line_words), "fp long, doc long, hash long, at long")
+    every = materialize(every)
+    # most fingerprints occur once: only the others go on. What a join reads is written first, so that Spark knows its
+    # size and can split a frequent fingerprint's rows
+    often = materialize(every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    fps = materialize(every.join(often, "fp"))
+    drop_table(every, often)
     place = F.struct("doc", "hash", "at")
-    firsts = fps.groupBy("fp").agg(F.min(place).alias("first"))
+    firsts = materialize(fps.groupBy("fp").agg(F.min(place).alias("first")))
     matches = fps.join(firsts, "fp").where(place > F.col("first"))
     pairs = matches.groupBy(
         "doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash")
     ).agg(F.collect_list("at").alias("here"), F.collect_list("first.at").alias("there"))
     pairs = materialize(pairs)
-    drop_table(fps)
+    drop_table(fps, firsts)
     # texts are fetched once, for both sides; a first text that many others match is dealt to several groups with it
     key = ["first_doc", "first_hash"]
     sized = pairs.groupBy(*key).agg(F.ceil(F.count("*") / GROUP).alias("groups"))
@@ -225,12 +271,12 @@ def repeated_runs(
         none.alias("here"),
         none.alias("there"),
     )
-    both = later.unionByName(leading).hint("merge").join(texts, ["doc", "hash"])
+    both = materialize(later.unionByName(leading)).join(texts, ["doc", "hash"])
     runs = (
         both.repartition(*key, "group")
         .sortWithinPartitions(*key, "group", F.desc("leads"))
         .select("doc", "hash", "text", *key, "leads", "here", "there")
-        .mapInPandas(_run_rows(min_words), "doc long, hash long, start long, end long")
+        .mapInPandas(_run_rows(gram_words, line_words), "doc long, hash long, start long, end long")
     )
     return runs.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
@@ -239,25 +285,30 @@ def remove_repeats(
     docs: DataFrame,
     gram_words: int = GRAM_WORDS,
     window_words: int = WINDOW_WORDS,
-    min_words: int = MIN_WORDS,
+    line_words: int = LINE_WORDS,
     report: bool = False,
 ) -> DataFrame:
     """docs with the repeated runs cut out of text; with report, also removed_runs ("start:end", comma-joined) and n_removed."""
-    batches(docs.sparkSession, 500)
-    found = materialize(repeated_runs(docs, gram_words, window_words, min_words)).select(
-        F.col("doc").alias(_DOC), F.col("hash").alias(_HASH), F.col("runs").alias(_RUNS)
+    doc, own, runs, new = fresh(docs, "_doc", "_hash", "_runs", "_text")
+    found = materialize(repeated_runs(docs, gram_words, window_words, line_words))
+    found = found.select(F.col("doc").alias(doc), F.col("hash").alias(own), F.col("runs").alias(runs))
+    keyed = docs.withColumns({doc: doc_key(), own: F.xxhash64("text")})
+    joined = keyed.join(found, [doc, own], "left")
+    hit = F.col(runs).isNotNull()
+    cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("text")), F.when(hit, F.col(runs)))
+    joined = joined.withColumn(new, F.when(hit, cut).otherwise(F.col("text")))
+
+    def shown(name: str):
+        if name == "text":
+            return F.col(new).alias("text")
+        if name == "n_chars":
+            return F.when(hit, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+        return named(name)
+
+    if not report:
+        return joined.select(*map(shown, docs.columns))
+    return joined.select(
+        *(shown(c) for c in docs.columns if c.lower() not in ("n_removed", "removed_runs")),
+        F.coalesce(F.size(runs), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["start"], r["end"])), ","), F.lit("")).alias("removed_runs"),
     )
-    keyed = docs.withColumns({_DOC: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), _HASH: F.xxhash64("text")})
-    joined = keyed.hint("merge").join(found, [_DOC, _HASH], "left")
-    hit = F.col(_RUNS).isNotNull()
-    cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("text")), F.when(hit, F.col(_RUNS)))
-    out = joined.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    columns = [F.col(c) for c in docs.columns]
-    if report:
-        columns += [
-            F.coalesce(F.size(_RUNS), F.lit(0)).cast("long").alias("n_removed"),
-            F.coalesce(F.array_join(F.transform(_RUNS, lambda r: F.concat_ws(":", r["start"], r["end"])), ","), F.lit("")).alias("removed_runs"),
-        ]
-    return out.select(*columns)
