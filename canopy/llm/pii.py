@@ -8,9 +8,13 @@ length and other words as segments of one, chooses boundaries and types together
 likelihood of segmentations, computed by the forward-backward recursion over segments.
 
 Texts are cut into regions: runs of words with a digit, an "@" or a written-out address, and a word on either side.
-Outside, every word is a segment of its own with score zero, so regions can be solved one by one. The model is fitted on
-at most MOST_TEXTS texts with base spans (a parameter), whose spans are the truth, and on rewritten copies of these
-regions. Decoded segments that meet a base span are dropped; base spans always stay.
+Outside, every word is a segment of its own with score zero, so regions can be solved one by one.
+
+The model is fitted on a bounded sample: of about MOST_TEXTS texts that look as if they held base spans, chosen by hash,
+the regions with base spans and at most LONGEST_REGION words, REGIONS_A_TEXT of a text and MOST_REGIONS in all, with these
+spans as the truth; and rewritten copies of them, two spans a region. All four are parameters. The corpus is read once
+besides to count and draw the sample, by built-in functions, and once to be scanned. Decoded segments that meet a base
+span are dropped; base spans always stay.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Rows are kept one for one, repeated ones
 too. Without a single text to learn from, only base spans are returned. Extra columns don't matter.
@@ -20,28 +24,32 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import batches
+from canopy.llm.common import slices
 
 KINDS = ["email", "ip", "card", "phone"]
-LONGEST, MOST_TEXTS, ROUNDS, PENALTY = 7, 160, 20, 0.02
+LONGEST, ROUNDS, PENALTY = 7, 20, 0.02
+MOST_TEXTS, MOST_REGIONS, REGIONS_A_TEXT, LONGEST_REGION = 2000, 160, 4, 40
 
-# The base patterns. The e-mail's local part is taken from the left of its "@".
+# The base patterns. The e-mail's local part is taken from the left of its "@". A match of four parts that
+# starts within digits also starts before them, so that only starts of digits are tried.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _WORD = re.compile(r"\S+")
-_CUE = re.compile(r"\S*[0-9@]\S*")
-_SPOKEN = re.compile(r"(?i)\S+\s+[(\[]?at[)\]]?\s+\S+(?:\s+[(\[]?dot[)\]]?\s+\S+)+")
+_SIGN = re.compile(r"[0-9@]")
+# Only starts of words are tried, and nothing is given back, so that the work is linear in texts without blanks as well.
+_CUE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+_SPOKEN = re.compile(r"(?i)(?<!\S)\S++\s++[(\[]?at[)\]]?\s++\S++(?:\s++[(\[]?dot[)\]]?\s++\S++)++")
 _local = frozenset(_LOCAL)
 
 
@@ -297,43 +305,74 @@ def examples_of(texts: list[str]) -> list[tuple]:
         other = text[:40].split()[:1] + [alike[number % len(alike)]] + text[-40:].split()[:1]
         copy = " ".join(other)
         out.append((copy, [m.span() for m in _WORD.finditer(copy)], []))
-    return [x for x in out if 0 < len(x[1]) <= 40]
+    return [x for x in out if 0 < len(x[1]) <= LONGEST_REGION]
 
 
-def fit(docs: DataFrame, most_texts: int = MOST_TEXTS) -> SemiMarkov | None:
-    """The model, fitted on texts with a base span: those of the smallest hash, as many as most_texts."""
+def fit(
+    docs: DataFrame,
+    most_texts: int = MOST_TEXTS,
+    most_regions: int = MOST_REGIONS,
+    regions_a_text: int = REGIONS_A_TEXT,
+    longest_region: int = LONGEST_REGION,
+) -> SemiMarkov | None:
+    """The model, fitted on a sample by hash of the texts that look as if they held base spans."""
 
     def with_spans(frames):
-        for frame in frames:
-            keep = [bool(base_spans(t)) for t in frame["text"]]
+        for frame in slices(frames, texts="text"):
             out = []
-            for t in frame["text"][keep]:
-                parts = []
-                for words in regions(t):
-                    if len(words) <= 40:
-                        parts.append(t[words[0][0] : words[-1][1]])
-                out += parts[:4]
+            for t in frame["text"]:
+                spans, own = [(s, e) for _, s, e in base_spans(t)], []
+                for words in regions(t) if spans else ():
+                    low, high = words[0][0], words[-1][1]
+                    if len(words) <= longest_region and any(low <= s and e <= high for s, e in spans):
+                        own.append(t[low:high])
+                    if len(own) == regions_a_text:
+                        break
+                out += own
             yield pd.DataFrame({"region": pd.Series(out, dtype=object)})
 
-    cues = docs.where("text IS NOT NULL").select("text").where(F.col("text").rlike("[0-9@]"))
-    found = cues.mapInPandas(with_spans, "region string")
-    sample = [r["region"] for r in found.distinct().orderBy(F.xxhash64("region"), "region").limit(most_texts).collect()]
+    # what base spans look like, roughly
+    like = r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|\+[0-9][0-9 ().-]{8}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){12}"
+    cues = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(like))
+    many = cues.count()
+    if not many:
+        return None
+    drawn = cues.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (1 << 30) * min(1.0, most_texts / many))
+    found = drawn.mapInPandas(with_spans, "region string").distinct().orderBy(F.xxhash64("region"), "region").limit(most_regions)
+    sample = [r["region"] for r in found.collect()]
     return SemiMarkov().fit(examples_of(sample)) if sample else None
 
 
+class _Taken:
+    """Places that spans cover, for one look-up each."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+
 def spans_of(text: str, model: SemiMarkov | None) -> tuple[list, list]:
     """Base spans, and all spans, both by kind and start."""
     base = base_spans(text)
     if model is None:
         return base, base
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _Taken((s, e) for _, s, e in base)
     added = []
     for words in regions(text):
-        if all(any(s < e2 and s2 < e for s2, e2 in taken) or not re.search(r"[0-9@]", text[s:e]) for s, e in words) and not _SPOKEN.search(text, words[0][0], words[-1][1]):
+        if all(taken.meets(s, e) or not _SIGN.search(text, s, e) for s, e in words) and not _SPOKEN.search(text, words[0][0], words[-1][1]):
             continue
         for kind, low, high in model.decode(text, words):
             start, end = _trim(text, words[low][0], words[high - 1][1])
-            if end > start and not any(start < e and s < end for s, e in taken):
+            if end > start and not taken.meets(start, end):
                 added.append((kind, start, end))
     return base, sorted(base + added)
 
@@ -345,11 +384,10 @@ def show(spans) -> str:
 def scan(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added: one row per row of docs."""
     session = docs.sparkSession
-    batches(session, 500)
     known = session.sparkContext.broadcast(model)
 
     def run(frames):
-        for frame in frames:
+        for frame in slices(frames, texts="text"):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 base, every = spans_of(text or "", known.value)
@@ -363,5 +401,5 @@ def scan(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
-def find(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame:
-    return scan(docs, fit(docs, most_texts))
+def find(docs: DataFrame, **sample) -> DataFrame:
+    return scan(docs, fit(docs, **sample))
