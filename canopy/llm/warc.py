@@ -1,7 +1,6 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
-Writing: pages meet the largest page_id of their payload by a join on digest and length (a skewed join that Spark can
-split), and tasks write archives of one gzip member per record into the shared folder. A file's name holds the task
+Writing: pages meet the largest page_id of their payload by a join on digest and length, and tasks write archives of one gzip member per record into the shared folder. A file's name holds the task
 attempt, so a task that runs again writes another file, and the index names the files of the attempts that counted.
 
 Index: captures are range-partitioned and sorted by reversed-host (SURT) key. Each task packs its captures into
@@ -32,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm.common import NO_ID, batches, materialize, shared_dir
+from canopy.llm.common import NO_ID, ROWS, doc_key, materialize, shared_dir, slices
 
 BLOCK_LINES, ARCHIVE_BYTES = 1000, 512 << 20
+#: Archive bytes, and look-ups, of a reading task, where there is more than one for every core.
+READ_BYTES, LOOKUPS = 128 << 20, 1_000_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -109,7 +110,7 @@ def _write_archives(folder: str, most_bytes: int):
         task = TaskContext.get()
         stem, made, out, at, name = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, 0, ""
         try:
-            for frame in frames:
+            for frame in slices(frames, texts="payload"):
                 rows = []
                 for r in frame.itertuples(index=False):
                     if out is None or at >= most_bytes:
@@ -134,20 +135,22 @@ def _write_archives(folder: str, most_bytes: int):
 def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to: null for responses."""
     rows = pages.select(
-        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"),
+        doc_key("page_id").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumns({"sha1": F.sha1("payload"), "bytes": F.length("payload")})
-    last = rows.groupBy("sha1", "bytes").agg(F.max("page_id").alias("last"))
+    last = rows.groupBy("sha1", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    # most payloads occur once, and only the others' pages need to look theirs up; what is looked up is written first, so
+    # that Spark knows its size and can split the rows of a frequent payload
+    last = materialize(last.where("n > 1").drop("n"))
     revisit = (F.col("bytes") >= least_bytes) & (F.col("page_id") != F.col("last"))
-    return rows.hint("merge").join(last, ["sha1", "bytes"]).select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"))
+    return rows.join(last, ["sha1", "bytes"], "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, most_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives; the captures, as a table of key, page_id, archive, offset and size."""
     fs, root = store(folder)
     fs.create_dir(root, recursive=True)
-    batches(pages.sparkSession, 500)
     return materialize(typed(pages, least_bytes).mapInPandas(_write_archives(folder, most_bytes), _CAPTURE))
 
 
@@ -256,17 +259,22 @@ class Index:
 _LOOKUP = "archive string, offset long, size long"
 
 
-def lookup(keys: DataFrame, folder: str, top: list[tuple[str, int, str]]) -> DataFrame:
-    """The captures of keys(key, page_id), found through the index; keys should be distinct."""
+def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
+    """How many tasks an amount is dealt to: the tables that name what is read are small, whatever stands behind them."""
+    return max(spark.sparkContext.defaultParallelism, -(-amount // each))
+
+
+def lookup(keys: DataFrame, folder: str, top: list[tuple[str, int, str]], tasks: int) -> DataFrame:
+    """The captures of keys(key, page_id), found through the index in so many tasks; keys should be distinct."""
     known = keys.sparkSession.sparkContext.broadcast(top)  # one entry for each index file
 
     def run(frames):
         index = Index(folder, known.value)
-        for frame in frames:
+        for frame in slices(frames, 10 * ROWS):
             rows = [c for key, page in zip(frame["key"], frame["page_id"]) for c in index.find(key, int(page))]
             yield pd.DataFrame(rows, columns=["archive", "offset", "size"])
 
-    ranged = keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ranged = keys.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return ranged.select("key", "page_id").mapInPandas(run, _LOOKUP)
 
 
@@ -282,13 +290,16 @@ _RECORD = T.StructType(
 )
 
 
-def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """The records at places(archive, offset, size), by range reads; a response's digest is that of what was read."""
+def read_records(places: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """The records at places(archive, offset, size), by range reads; a response's digest is that of what was read.
+
+    Each of the tasks reads along its range of archives and offsets.
+    """
 
     def run(frames):
         fs, root = store(folder)
         name, file = None, None
-        for frame in frames:
+        for frame in slices(frames):
             rows = []
             for r in frame.itertuples(index=False):
                 if name != r.archive:
@@ -316,7 +327,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return places.repartition("archive").sortWithinPartitions("archive", "offset").mapInPandas(run, _RECORD)
+    return places.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInPandas(run, _RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -324,9 +335,11 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     folder = shared_dir(spark)
     captures = write_archives(pages, f"{folder}/archive", least_bytes)
+    size = captures.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     top = write_index(captures, f"{folder}/index")
     named = F.pandas_udf(lambda url: url.map(surt), "string")
-    keys = pages.select(named("url").alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id")).distinct()
-    records = read_records(lookup(keys, f"{folder}/index", top), f"{folder}/archive")
+    keys = pages.select(named("url").alias("key"), doc_key("page_id").alias("page_id")).distinct()
+    places = materialize(lookup(keys, f"{folder}/index", top, tasks_for(spark, size["n"], LOOKUPS)))
+    records = read_records(places, f"{folder}/archive", tasks_for(spark, size["bytes"], READ_BYTES))
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return records.select(real("page_id"), "payload_bytes", "payload_digest", "record_type", real("refers_to"), "url")
