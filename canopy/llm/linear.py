@@ -23,6 +23,8 @@ class Sample:
     index: np.ndarray
     edge: np.ndarray
     labels: dict[str, np.ndarray]
+    #: A hash of each row's text, for folds: copies are held out together.
+    hashes: np.ndarray
 
     def __len__(self) -> int:
         return len(self.edge) - 1
@@ -80,16 +82,17 @@ def encode_sample(
 
     def encode(frames):
         for frame in frames:
-            out = frame[categories].copy()
+            out = frame[["hash", *categories]].copy()
             out["index"] = [sorted(vocabulary[w] for w in set(features(t)) if w in vocabulary) for t in frame["text"]]
             yield out
 
-    rows = sample.mapInPandas(encode, ", ".join(f"{c} int" for c in categories) + ", index array<int>").toPandas()
-    rows = rows.assign(order=[(len(x), *x[:8]) for x in rows["index"]]).sort_values("order", kind="stable")
+    schema = "hash long, " + ", ".join(f"{c} int" for c in categories) + ", index array<int>"
+    rows = sample.withColumn("hash", F.xxhash64("text")).mapInPandas(encode, schema).toPandas()
+    rows = rows.sort_values(["hash", *categories], kind="stable")
     runs = [np.asarray(x, np.int64) for x in rows["index"]]
     edge = np.concatenate(([0], np.cumsum([len(x) for x in runs]))).astype(np.int64)
     index = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-    return Sample(vocabulary, index, edge, {c: rows[c].to_numpy(np.float64) for c in categories})
+    return Sample(vocabulary, index, edge, {c: rows[c].to_numpy(np.float64) for c in categories}, rows["hash"].to_numpy(np.int64))
 
 
 def matrix(sample: Sample, extra: np.ndarray) -> np.ndarray:
@@ -119,9 +122,9 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 3.0, rounds: int = 12) ->
     return w
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, folds: int) -> np.ndarray:
-    """Every row's margin by a model that was fitted without its fold."""
-    fold, out = np.arange(len(y)) % folds, np.zeros(len(y))
+def out_of_fold(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, folds: int) -> np.ndarray:
+    """Every row's margin by a model that was fitted without its fold. Equal texts have equal hashes and share a fold."""
+    fold, out = hashes % folds, np.zeros(len(y))
     for k in range(folds):
         out[fold == k] = x[fold == k] @ fit(x[fold != k], y[fold != k])
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm.common import batches, materialize
+from canopy.llm.common import materialize, slices
 
 CAPACITY = 2048
 _PIECES = T.StructType(
@@ -121,7 +121,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY)
         words = _words[vocabulary]
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for frame in frames:
+        for frame in slices(frames, texts="text"):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 ids = words.of_text(text or "") + b"\0\0\0\0"
@@ -135,7 +135,6 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY)
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    batches(docs.sparkSession, 500)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(cut, _PIECES)
 
 
@@ -191,15 +190,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     # at most `capacity` rows, whatever the input
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = plan_slots(counts, capacity)
-    if len(slots) > 16 * capacity:
-        raise AssertionError("a plan has a few ranges for each length at most")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from_rank"))
     plan = spark.createDataFrame(slots, "slot_length long, lo long, ranks long, first_sequence long, each long, base long")
     ranked = pieces.join(starts, ["length", "task"]).withColumn("rank", F.col("from_rank") + F.col("rank_in_task"))
     inside = F.col("rank") - F.col("lo")
+    # a plan has a few ranges for each of at most `capacity` lengths; Spark broadcasts it by its size
     return ranked.join(
-        F.broadcast(plan),
+        plan,
         (F.col("length") == F.col("slot_length")) & (inside >= 0) & (inside < F.col("ranks")),
     ).select(
         "doc_id",

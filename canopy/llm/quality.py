@@ -9,10 +9,11 @@ does not count.
 
 Sites are pooled by grouped aggregation over all documents: sums of probabilities and of their squares, first by path,
 then by host, then over all. Documents meet their path's sums by a join that Spark may split if one host has a third of
-them. The classifier is fitted on at most MOST_ROWS labelled documents (a parameter).
+them. The classifier is fitted on at most MOST_ROWS labelled documents and MOST_FEATURES features (parameters).
 
 Null and empty texts have the features of an empty text. Null hosts and paths form a site of their own. Without labels
-of both kinds there is no evidence, and every document is kept. Rows are kept one for one, repeated ones too.
+of both kinds there is no evidence, and every document is kept. Rows are kept one for one, repeated ones too. Extra
+columns don't matter, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import linear
-from canopy.llm.common import NO_ID, batches, materialize
+from canopy.llm.common import materialize
 
 MOST_ROWS, MOST_FEATURES, FOLDS = 6000, 250, 3
 #: A document is kept from this posterior probability on, which is where keeping and dropping are equally likely right.
@@ -67,9 +68,9 @@ class Style:
     base: float
 
 
-def fit_style(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Style:
+def fit_style(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> Style:
     marked = labels.where("quality IS NOT NULL").select("doc_id", (F.col("quality") > 0).cast("int").alias("good"))
-    sample = linear.encode_sample(linear.labelled_sample(docs, marked, most_rows), style, ["good"], MOST_FEATURES)
+    sample = linear.encode_sample(linear.labelled_sample(docs, marked, most_rows), style, ["good"], most_features)
     y = sample.labels["good"]
     weights = linear.fit(linear.matrix(sample, np.zeros((len(sample), 0))), y)
     if not len(y) or y.min() == y.max():
@@ -81,7 +82,6 @@ def fit_style(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: float = KEEP) -> DataFrame:
     """doc_id, host, path, evidence, host_rate, path_rate, score, keep: one row per row of docs."""
     session = docs.sparkSession
-    batches(session, 500)
     fitted = fit_style(docs, labels)
     known = session.sparkContext.broadcast((fitted.vocabulary, fitted.weights))
     base = float(linear.logit(fitted.base))
@@ -92,7 +92,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
 
     rows = materialize(
         docs.select(
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+            F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(host.cast("string"), F.lit("")).alias("host"),
             F.coalesce(path.cast("string"), F.lit("")).alias("path"),
             F.pandas_udf(evidence, "double")("text").alias("evidence"),
@@ -123,8 +123,10 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
 
     host_strength = strength((spread_hosts["squares"] or 0.0) / total - mean * mean, spread_hosts["sites"])
     path_strength = strength((spread_paths["squares"] or 0.0) / total, spread_paths["sites"])
-    sites = paths.join(hosts, "host")
-    joined = rows.hint("merge").join(sites, ["host", "path"])
+    # one row a site, written so that Spark knows its size: it is sent to the rows while it is small, and where it isn't,
+    # a frequent site's rows can be split
+    sites = materialize(paths.join(hosts, "host"))
+    joined = rows.join(sites, ["host", "path"])
     # the document's own probability is taken out of both levels
     host_rate = (F.col("host_good") - F.col("p") + host_strength * mean) / (F.col("host_n") - 1 + host_strength)
     joined = joined.withColumn("host_rate", host_rate)
@@ -132,5 +134,5 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
     joined = joined.withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6)))
     joined = joined.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))))))
     return joined.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep")
+        "doc_id", "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep")
     )

@@ -7,9 +7,11 @@ can be trusted on texts they have not seen; afterwards they come from the earlie
 The chain runs from the coarse to the narrow: `review` (toxic or of low quality), `toxic`, and `toxic_junk` (both). A
 text is rejected at the probability of `toxic` that was best (F1) out of fold.
 
-The models are fitted on at most MOST_ROWS labelled documents (a parameter); every document is scored on its whole text.
+The models are fitted on at most MOST_ROWS labelled documents and MOST_FEATURES words, those that tell most (both are
+parameters); folds go by the text's hash, so that copies are held out together. Every document is scored on its whole text.
 Null and empty texts have no words and get the base rates. Without labels, or with labels of one kind only, nothing is
-rejected. Null labels count as unlabelled. Rows are kept one for one, repeated ones too; extra columns don't matter.
+rejected. Null labels count as unlabelled. Rows are kept one for one, repeated ones too; extra columns don't matter,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm import linear
-from canopy.llm.common import batches
 
 MOST_ROWS, MOST_FEATURES, FOLDS = 6000, 250, 3
 CATEGORIES = ["review", "toxic", "toxic_junk"]
@@ -55,7 +56,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, mo
     for category in CATEGORIES:
         y = sample.labels[category]
         x = linear.matrix(sample, extra)
-        held_out = linear.out_of_fold(x, y, folds)
+        held_out = linear.out_of_fold(x, y, sample.hashes, folds)
         models.append(linear.fit(x, y))
         if category == "toxic":
             threshold = linear.best_threshold(linear.sigmoid(held_out), y)
@@ -65,13 +66,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, mo
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, p_review, p_toxic, p_toxic_junk, is_toxic for every row."""
-    return _scored(docs.select("doc_id", "text"), chain).drop("text")
+    return _scored(docs.select("doc_id", "text"), chain).select("doc_id", "p.*", "is_toxic")
 
 
 def _scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs with the probabilities and is_toxic, in one pass over the rows."""
+    """docs with the probabilities as p, and is_toxic, in one pass over the rows."""
     session = docs.sparkSession
-    batches(session, 500)
     wide = len(chain.vocabulary)
     known = session.sparkContext.broadcast((chain.vocabulary, np.array([m[:wide] for m in chain.models])))
     bias, more = [float(m[-1]) for m in chain.models], [m[wide:-1] for m in chain.models]
@@ -88,9 +88,8 @@ def _scored(docs: DataFrame, chain: Chain) -> DataFrame:
             sums[:, k] = margin
         return pd.DataFrame(linear.sigmoid(sums), columns=["p_review", "p_toxic", "p_toxic_junk"])
 
-    out = docs.withColumn("_canopy_p", probabilities("text"))
-    names = [F.col(c) for c in docs.columns]
-    return out.select(*names, "_canopy_p.*", (F.col("_canopy_p.p_toxic") >= chain.threshold).alias("is_toxic"))
+    out = docs.withColumn("p", probabilities("text"))
+    return out.withColumn("is_toxic", F.col("p.p_toxic") >= chain.threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -100,5 +99,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the chain rejects."""
     chain = fit_chain(docs, labels)
-    renamed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("text"))
+    renamed = docs.select(F.struct("*").alias("row"), F.col("text"))
     return _scored(renamed, chain).where(~F.col("is_toxic")).select("row.*")
