@@ -131,6 +131,51 @@ def authorization_id(name: Column) -> Column:
     return F.when((name != "") & is_valid_column(name), F.concat(F.lit("dn:"), name)).otherwise(F.concat(F.lit("u:"), name))
 
 
+def extended_dn(name: Column, guid: Column, sid: Column | None = None, dashed: bool = True) -> Column:
+    """The name behind its identifiers: <GUID=...>;<SID=...>;name. A missing SID is left out; dashed=False takes the dashes from the GUID."""
+    shown = guid if dashed else F.replace(guid, F.lit("-"), F.lit(""))
+    second = F.lit("") if sid is None else F.coalesce(F.concat(F.lit("<SID="), sid.cast("string"), F.lit(">;")), F.lit(""))
+    return F.concat(F.lit("<GUID="), shown, F.lit(">;"), second, name)
+
+
+#: The flags of a security descriptor's parts.
+OWNER, GROUP, DACL, SACL = 1, 2, 4, 8
+
+
+def descriptor_part(part: Column, flag: int, flags: Column | int) -> Column:
+    """A part of a security descriptor, shown if its flag is among those asked for."""
+    asked = F.lit(flags) if isinstance(flags, int) else flags
+    return F.when(asked.bitwiseAND(F.lit(flag)) != 0, part)
+
+
+def options(description: str) -> list[str]:
+    """The options of an attribute description, in lower case and in order: member;Range=0-9;lang-en."""
+    return sorted(o.lower() for o in description.split(";")[1:] if o)
+
+
+def has_option(description: str, option: str) -> bool:
+    return option.lower() in options(description)
+
+
+def options_start_with(description: str, text: str) -> bool:
+    return any(o.startswith(text.lower()) for o in options(description))
+
+
+def attribute_name(description: Column) -> Column:
+    return F.split(description, ";", 2)[0]
+
+
+def options_column(description: Column) -> Column:
+    """options() on data, as an array."""
+    own = F.split(F.lower(description), ";")
+    return F.array_sort(F.filter(F.slice(own, 2, F.size(own)), lambda o: o != ""))
+
+
+def description_column(name: Column, own: Column) -> Column:
+    """A description from a name and its options: in lower case, options in order, so that equal ones read the same."""
+    return F.array_join(F.concat(F.array(F.lower(name)), F.array_sort(F.transform(own, F.lower))), ";")
+
+
 def is_below(name: Column, base: str) -> Column:
     """The base itself or what stands under it, without regard to case."""
     low, own = F.lower(name), ",".join(parts(base)).lower()

@@ -12,6 +12,28 @@ from canopy.model import DirectoryError, Scope, SearchRequest
 _SCOPES = {"": Scope.BASE, "base": Scope.BASE, "one": Scope.ONE, "sub": Scope.SUBTREE}
 
 
+@dataclass(frozen=True)
+class Extension:
+    """An extension of a URL: a name, whether it is critical, and a value."""
+
+    name: str
+    value: str | None = None
+    critical: bool = False
+
+    def __str__(self):
+        shown = quote(self.name, safe="=!").replace(",", "%2c")
+        value = "" if self.value is None else "=" + quote(self.value, safe="=!").replace(",", "%2c")
+        return f"{'!' * self.critical}{shown}{value}"
+
+
+def parse_extension(text: str) -> Extension:
+    critical = text.startswith("!")
+    name, sign, value = text[critical:].partition("=")
+    if not name:
+        raise DirectoryError(f"no name in extension {text!r}")
+    return Extension(unquote(name), unquote(value) if sign else None, critical)
+
+
 @dataclass(frozen=True)
 class SearchUrl:
     base: str = ""
@@ -21,7 +43,7 @@ class SearchUrl:
     host: str | None = None
     port: int | None = None
     secure: bool = False
-    extensions: tuple[str, ...] = field(default=())
+    extensions: tuple[Extension, ...] = field(default=())
 
     def request(self) -> SearchRequest:
         return SearchRequest(
@@ -34,7 +56,7 @@ class SearchUrl:
             ",".join(quote(a, safe=";") for a in self.attributes),
             self.scope or "",
             quote(self.filter or "", safe=keep.replace(" ", "")),
-            ",".join(quote(e, safe="=!").replace(",", "%2c") for e in self.extensions),
+            ",".join(map(str, self.extensions)),
         ]
         while rest and not rest[-1]:
             rest.pop()
@@ -58,5 +80,5 @@ def parse(url: str) -> SearchUrl:
         host or None,
         int(port) if port else None,
         scheme.lower() == "ldaps",
-        tuple(unquote(e) for e in extensions.split(",") if e),
+        tuple(parse_extension(e) for e in extensions.split(",") if e),
     )

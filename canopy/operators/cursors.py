@@ -1,22 +1,22 @@
 """Cursors over ordered results: pages, list views around a target, and ranges of long attributes.
 
-A page needs no ranks: it is the next rows beyond the last key (top-k). Ranks of a whole result come from one range
-shuffle: the rows are sorted over many partitions, each row is numbered within its own, and a row's rank adds what the
-partitions before it hold. No task sees all rows.
+Ranks of a whole result come from one range shuffle: the rows are sorted over many partitions, each row is numbered within
+its own, and a row's rank adds what the partitions before it hold. No task sees all rows. The sorted rows are written
+once, so that every page and window after the first is a read of some rows by their rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.model import DirectoryError, SearchRequest
 from canopy.operators.search import Directory
+from canopy.sources.scratch import materialize
 
 PAGE = 1000
 
@@ -24,10 +24,9 @@ PAGE = 1000
 def ranked(rows: DataFrame, order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
     """rows with their 1-based rank, and their number, by a distributed sort.
 
-    The sorted rows are kept, with replicas, so that both reads see the same partitions.
+    The sorted rows are written to the shared folder: a task that runs again can't deal them to other partitions.
     """
-    place = F.monotonically_increasing_id()
-    kept = rows.orderBy(*order).withColumn("_place", place).persist(StorageLevel.MEMORY_AND_DISK_2)
+    kept = materialize(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
     # one row for each partition
@@ -41,60 +40,47 @@ def ranked(rows: DataFrame, order: list[Column], rank: str = "rank", total: str
     return out.drop("_place", "_part", "_before", "_all")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """rows with their number within their key, in order: ranks of the whole less the key's first one.
+
+    A key of any size is sorted over as many partitions as it needs.
+    """
+    held = ranked(rows, [*map(F.col, keys), *order], "_rank")
+    firsts = held.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    return held.join(firsts, keys).withColumn(name, (F.col("_rank") - F.col("_first") + first).cast("long")).drop("_rank", "_first")
+
+
 def _plain(frame: DataFrame) -> DataFrame:
     return frame.drop(*[c for c in frame.columns if c.startswith("_sort_")])
 
 
 @dataclass
 class Pages:
-    """Pages of a search in order: iterate, or ask for page k of the whole."""
+    """Pages of a search in order: iterate, or ask for page k of the whole. The result is sorted and written once."""
 
     directory: Directory
     request: SearchRequest
     size: int = PAGE
 
-    def __iter__(self) -> Iterator[DataFrame]:
+    @cached_property
+    def _sorted(self) -> DataFrame:
         rows, order = self.directory.sorted_keys(self.request)
-        keys = [(f"_sort_{k.attribute.lower()}", k.descending) for k in self.request.sort] + [("dn", False)]
-        last = None
-        while True:
-            beyond = rows if last is None else rows.where(_beyond(keys, last))
-            page = beyond.orderBy(*order).limit(self.size)
-            held = page.collect()  # one page
-            if not held:
-                return
-            yield _plain(self.directory.relations[0].frame(set()).sparkSession.createDataFrame(held, page.schema))
-            if len(held) < self.size:
-                return
-            last = held[-1].asDict()
+        # in order and with their ranks, so that a page reads the files and row groups that hold it
+        return materialize(_plain(ranked(rows, order)))
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        many = -(-self._sorted.count() // self.size)
+        for number in range(1, many + 1):
+            yield self.page(number).orderBy("pos").drop("pos")
 
     def numbered(self) -> DataFrame:
-        """Every row with its page, from 1."""
-        rows, order = self.directory.sorted_keys(self.request)
-        return _plain(ranked(rows, order).withColumn("page", F.ceil(F.col("rank") / self.size).cast("long")))
+        """Every row with its rank and its page, from 1."""
+        return self._sorted.withColumn("page", F.ceil(F.col("rank") / self.size).cast("long"))
 
     def page(self, number: int) -> DataFrame:
-        """One page: the first rows up to its end are selected without a full sort."""
-        rows, order = self.directory.sorted_keys(self.request)
-        top = rows.orderBy(*order).limit(number * self.size)
-        # at most number * size rows
-        held = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        return _plain(held.where(F.col("pos") > (number - 1) * self.size))
-
-
-def _beyond(keys: list[tuple[str, bool]], last: dict) -> Column:
-    """Rows that come after the last one in the order of the keys; absent values count as largest."""
-    out, same = F.lit(False), F.lit(True)
-    for name, descending in keys:
-        c, value = F.col(name), last[name]
-        if value is None:
-            after = c.isNotNull() if descending else F.lit(False)
-            equal = c.isNull()
-        else:
-            after = c < value if descending else (c > value) | c.isNull()
-            equal = c == value
-        out, same = out | (same & F.coalesce(after, F.lit(False))), same & F.coalesce(equal, F.lit(False))
-    return out
+        """The rows of one page, with their place in the whole as pos."""
+        own = F.col("rank").between((number - 1) * self.size + 1, number * self.size)
+        return self._sorted.where(own).withColumnRenamed("rank", "pos")
 
 
 @dataclass
@@ -193,9 +179,25 @@ def exploded(frame: DataFrame, column: str, low: int = 0, high: int | None = Non
     ).drop("_at")
 
 
+def ranged_values(values: DataFrame, low: int = 0, high: int | None = None, key: str = "dn", value: str = "value") -> DataFrame:
+    """Values low..high of every entry's long attribute, from rows (key, value), each with its place, from 0."""
+    out = numbered(values, [key], [F.col(value)], "value_index", first=0)
+    inside = F.col("value_index") >= low
+    return out.where(inside if high is None else inside & (F.col("value_index") <= high))
+
+
 def union(*results: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
 
 
+def get(entries: DataFrame, dn: str) -> DataFrame:
+    """The entries of exactly that name."""
+    return entries.where(F.col("dn") == dn)
+
+
+def has(entries: DataFrame, dn: str) -> bool:
+    return not get(entries, dn).isEmpty()
+
+
 def remove(entries: DataFrame, others: DataFrame) -> DataFrame:
     return entries.join(others.select("dn"), "dn", "left_anti")

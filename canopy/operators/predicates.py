@@ -1,6 +1,8 @@
 """Filters as Column predicates.
 
-Negations are pushed to the leaves, so that positive leaves and "absent or different" both reach the Parquet scan.
+Negations are pushed to the leaves, so that positive leaves and "absent or different" both reach the Parquet scan. Nested
+containers of one kind become one, equalities of one attribute one look-up, and the rest a tree of logarithmic depth, so
+that filters may have many thousand branches.
 A leaf is true, false or undefined. An attribute that an entry lacks makes a leaf false, hence its negation true; one
 that no relation knows makes both undefined (NULL), as does a value that its syntax can't read.
 """
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -16,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from canopy.functions import filters as f
-from canopy.functions import names
+from canopy.model import DirectoryError, ResultCode
 from canopy.sources.relation import Attribute, Relation
 
 #: name or OID in lower case -> (value of the attribute, assertion) -> predicate
@@ -114,6 +117,49 @@ def _substring(value: Column, node: f.Substring, fold: Callable[[str], str]) ->
 
 
 UNDEFINED = None
+#: Levels of alternating containers that a predicate may have, once nested ones of a kind are one.
+MOST_LEVELS = 200
+
+
+@dataclass
+class _Group:
+    """A conjunction (every) or a disjunction of groups, of leaves (node, positive) and of constants."""
+
+    every: bool
+    parts: list = field(default_factory=list)
+    level: int = 0
+
+
+def _flattened(node) -> _Group:
+    """The filter with negations at its leaves and nested containers of one kind as one, whatever its depth."""
+    root = _Group(True)
+    rest = [(node, True, root)]
+    while rest:
+        node, positive, into = rest.pop()
+        if isinstance(node, f.Not):
+            rest.append((node.child, not positive, into))
+        elif isinstance(node, (f.And, f.Or)):
+            every = isinstance(node, f.And) == positive
+            if not node.children:
+                into.parts.append(every)
+                continue
+            if every != into.every and len(node.children) > 1:
+                group = _Group(every, level=into.level + 1)
+                if group.level > MOST_LEVELS:
+                    raise DirectoryError(f"a filter of more than {MOST_LEVELS} levels", ResultCode.UNWILLING_TO_PERFORM)
+                into.parts.append(group)
+                into = group
+            rest.extend((c, positive, into) for c in reversed(node.children))
+        else:
+            into.parts.append((node, positive))
+    return root
+
+
+def balanced(columns: list[Column], join: Callable[[Column, Column], Column]) -> Column:
+    """All columns joined by a tree of logarithmic depth."""
+    while len(columns) > 1:
+        columns = [join(*columns[k : k + 2]) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    return columns[0]
 
 
 class Predicates:
@@ -125,14 +171,37 @@ class Predicates:
 
     def column(self, node) -> Column | bool:
         """True, False or NULL for each entry; a plain bool if it is the same for all."""
-        out = self._compile(node, True)
+        out = self._compile(_flattened(node))
         return F.lit(None).cast("boolean") if out is UNDEFINED else out
 
-    def _compile(self, node, positive: bool):
-        if isinstance(node, f.Not):
-            return self._compile(node.child, not positive)
-        if isinstance(node, (f.And, f.Or)):
-            return self._combined([self._compile(c, positive) for c in node.children], isinstance(node, f.And) == positive)
+    def _compile(self, group: _Group):
+        parts, equal = [], {}
+        for part in group.parts:
+            if isinstance(part, _Group):
+                parts.append(self._compile(part))
+            elif isinstance(part, bool):
+                parts.append(part)
+            elif part[1] != group.every and (found := self._equality(part[0])):
+                attribute, value = found
+                equal.setdefault(attribute.column, (attribute, []))[1].append(value)
+            else:
+                parts.append(self._node(*part))
+        # equalities of one attribute, any of which will do, are one look-up
+        for attribute, found in equal.values():
+            one = len(found) == 1
+            test = lambda v, a=attribute, x=found, one=one: _folded(v, a.syntax) == x[0] if one else _folded(v, a.syntax).isin(x)
+            parts.append(self._leaf(attribute, test, not group.every))
+        return self._combined(parts, group.every)
+
+    def _equality(self, node) -> tuple[Attribute, object] | None:
+        """Attribute and value of a plain equality."""
+        if type(node) is not f.Compare or node.op != "=" or type(node) in COMPILERS or node.attribute.lower() == "objectclass":
+            return None
+        attribute = self.relation.find(node.attribute)
+        value = None if attribute is None else _literal(attribute.syntax, node.value)
+        return None if value is None else (attribute, value)
+
+    def _node(self, node, positive: bool):
         if type(node) in COMPILERS:
             return COMPILERS[type(node)](node, self.relation, positive, self.known)
         if isinstance(node, f.Extensible):
@@ -154,7 +223,7 @@ class Predicates:
         rest = [F.lit(None).cast("boolean") if c is UNDEFINED else c for c in children if c is not conjunction]
         if not rest:
             return conjunction
-        return reduce((lambda a, b: a & b) if conjunction else (lambda a, b: a | b), rest)
+        return balanced(rest, (lambda a, b: a & b) if conjunction else (lambda a, b: a | b))
 
     def _object_class(self, node, positive: bool):
         own = self.relation.object_class.lower()
@@ -167,6 +236,9 @@ class Predicates:
         return hit == positive
 
     def _presence(self, attribute: Attribute, positive: bool) -> Column:
+        if attribute.detail:
+            there = attribute.detail.exists(F.col(attribute.column).isNotNull())
+            return there if positive else ~there
         self.used.add(attribute.column)
         c = F.col(attribute.column)
         if attribute.multi:
@@ -178,6 +250,9 @@ class Predicates:
         """The predicate for an attribute from a test of one value."""
         if test is UNDEFINED:
             return UNDEFINED
+        if attribute.detail:
+            some = attribute.detail.exists(test(F.col(attribute.column)))
+            return some if positive else ~some
         self.used.add(attribute.column)
         c = F.col(attribute.column)
         if attribute.multi:

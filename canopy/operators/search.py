@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,20 @@ from canopy.operators.predicates import MATCHING_RULES, Predicates
 from canopy.sources.relation import Attribute, Relation
 
 
+#: OID -> change of a search's result: (DataFrame, value) -> DataFrame.
+CONTROLS: dict[str, Callable[[DataFrame, object], DataFrame]] = {}
+
+
+def register_control(oid: str):
+    """A control of one's own: what it does to the entries found, before they are sorted and limited."""
+
+    def add(change):
+        CONTROLS[oid] = change
+        return change
+
+    return add
+
+
 class Directory:
     """Relations under one root. default_base is searched if a request names none."""
 
@@ -30,12 +44,7 @@ class Directory:
         One relation's typed columns come back as they are; several relations are united by name.
         """
         request = (request or SearchRequest()).with_(**options)
-        base = self.default_base if request.base is None else request.base
-        if base is None:
-            raise DirectoryError("no base to search under")
-        node = f.parse(request.filter) if isinstance(request.filter, str) else request.filter
-        self._check_sort(request.sort)
-        out = self._united(node, base, request)
+        out, _ = self.sorted_keys(request)
         if request.sort:
             out = out.orderBy(*self.order(request.sort))
         if request.size_limit:
@@ -50,7 +59,11 @@ class Directory:
             within = _within(relation, base, request.scope)
             if within is not False:
                 predicates = Predicates(relation, self.known)
-                found.append((relation, within, predicates.column(node), predicates.used))
+                condition = predicates.column(node)
+                if relation.deleted and not request.show_deleted and condition is not False:
+                    alive = ~F.coalesce(F.expr(relation.deleted), F.lit(False))
+                    condition = alive if condition is True else condition & alive
+                found.append((relation, within, condition, predicates.used))
         if not found:
             raise DirectoryError(f"nothing is in scope under {base}", ResultCode.NO_SUCH_OBJECT)
         live = [x for x in found if x[2] is not False] or [(*found[0][:2], F.lit(False), set())]
@@ -59,12 +72,16 @@ class Directory:
     def _of(self, relation: Relation, within, condition, used: set[str], request: SearchRequest) -> DataFrame:
         shown = self._shown(relation, request)
         sort = {k.attribute.lower(): relation.find(k.attribute) for k in request.sort}
-        needed = used | relation.keys() | {a.column for _, a in shown} | {a.column for a in sort.values() if a}
+        by_rows = {n: a for n, a in sort.items() if a is not None and a.detail}
+        needed = used | relation.keys() | {a.column for _, a in shown} | {a.column for n, a in sort.items() if a and n not in by_rows}
         frame = relation.frame(needed)
         if within is not True:
             frame = frame.where(within)
         if condition is not True:
             frame = frame.where(condition)
+        for name, a in by_rows.items():
+            lows = a.detail.rows().groupBy(F.col(a.detail.key).alias("_key")).agg(F.min(_folded(F.col(a.column), a)).alias(f"_low_{name}"))
+            frame = frame.join(lows, F.col(a.detail.own) == F.col("_key"), "left").drop("_key")
         columns = [relation.dn(frame).alias("dn"), F.lit(relation.object_class).alias("objectClass")]
         for name, a in shown:
             c = F.col(a.column)
@@ -73,7 +90,8 @@ class Directory:
             columns.append(c.alias(name))
         for name, a in sort.items():
             if a is not None:
-                columns.append(_sort_value(a).alias(f"_sort_{name}"))
+                value = F.col(f"_low_{name}") if name in by_rows else _sort_value(a)
+                columns.append(value.alias(f"_sort_{name}"))
         return frame.select(*columns)
 
     @staticmethod
@@ -104,9 +122,39 @@ class Directory:
     def sorted_keys(self, request: SearchRequest) -> tuple[DataFrame, list[Column]]:
         """The unordered result with its sort columns, and the order: for cursors."""
         base = self.default_base if request.base is None else request.base
+        if base is None:
+            raise DirectoryError("no base to search under")
         node = f.parse(request.filter) if isinstance(request.filter, str) else request.filter
         self._check_sort(request.sort)
-        return self._united(node, base, request), self.order(request.sort)
+        out = self._united(node, base, request)
+        for oid, value in request.controls:
+            if oid not in CONTROLS:
+                raise DirectoryError(f"no control {oid}", ResultCode.UNAVAILABLE_CRITICAL_EXTENSION)
+            out = CONTROLS[oid](out, value)
+        return out, self.order(request.sort)
+
+    def get(self, dn: str, *attributes: str) -> DataFrame:
+        """The entry of a name: one row, or none."""
+        return self.search(SearchRequest(base=dn, scope=Scope.BASE, attributes=attributes, show_deleted=True))
+
+    def has(self, dn: str) -> bool:
+        try:
+            return not self.get(dn, "1.1").isEmpty()
+        except DirectoryError as e:
+            if e.code == ResultCode.NO_SUCH_OBJECT:
+                return False
+            raise
+
+    def values(self, object_class: str, attribute: str) -> DataFrame:
+        """dn, value: a row for each value of a multi-valued attribute, whose array is never made."""
+        relation = next((r for r in self.relations if r.object_class.lower() == object_class.lower()), None)
+        a = relation.find(attribute) if relation else None
+        if a is None or not a.detail:
+            raise DirectoryError(f"{attribute} of {object_class} has no rows of its own", ResultCode.NO_SUCH_ATTRIBUTE)
+        frame = relation.frame(relation.keys())
+        rows = a.detail.rows().select(F.col(a.detail.key).alias("_key"), F.col(a.column).alias("_value")).where("_value IS NOT NULL")
+        own = frame.withColumn("_dn", relation.dn(frame)).select("_dn", F.col(a.detail.own).alias("_own"))
+        return own.join(rows, F.col("_own") == F.col("_key")).select(F.col("_dn").alias("dn"), F.col("_value").alias("value"))
 
     def compare(self, dn: str, attribute: str, value: str) -> DataFrame:
         """One row, matches: whether the entry has the value. No row if there is no such entry."""
@@ -118,6 +166,10 @@ class Directory:
             predicates = Predicates(relation, self.known)
             condition = predicates.column(test)
             frame = relation.frame(predicates.used | relation.keys()).where(within)
+            a = relation.find(attribute)
+            if a is not None and a.detail:
+                there = lambda rows, yes: rows.select(F.lit(dn).alias("dn"), F.lit(yes).alias("matches"))
+                return there(frame.where(condition), True).unionByName(there(frame.where(~condition), False))
             hit = F.lit(condition) if isinstance(condition, bool) else F.coalesce(condition, F.lit(False))
             return frame.select(F.lit(dn).alias("dn"), hit.alias("matches"))
         raise DirectoryError(f"no entry {dn}", ResultCode.NO_SUCH_OBJECT)
@@ -160,10 +212,13 @@ def _is_integer(value: str) -> bool:
     return value.lstrip("-").isdigit()
 
 
+def _folded(c: Column, a: Attribute) -> Column:
+    return F.lower(c) if a.syntax in ("ci_string", "dn") else c
+
+
 def _sort_value(a: Attribute) -> Column:
     """What an entry is sorted by: its lowest value, case ignored where the syntax says so."""
-    c = F.array_min(F.col(a.column)) if a.multi else F.col(a.column)
-    return F.lower(c) if a.syntax in ("ci_string", "dn") else c
+    return _folded(F.array_min(F.col(a.column)) if a.multi else F.col(a.column), a)
 
 
 def expected_count(found: DataFrame, least: int, most: int) -> DataFrame:

@@ -5,9 +5,10 @@ Entries have a dn column and, in the generic layout, attrs map<string, array<str
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import names
@@ -25,6 +26,58 @@ class Change:
     values: tuple[str, ...] = ()
 
 
+#: The numbers of the kinds of change.
+KINDS = {"add": 0, "delete": 1, "replace": 2}
+
+
+class Edit:
+    """Editing of one entry that keeps the changes made, for modify().
+
+    A removal without values records nothing.
+    """
+
+    def __init__(self, dn: str, changes: Iterable[Change] = ()):
+        self.dn, self.changes = dn, list(changes)
+
+    def _record(self, kind: str, attribute: str, values) -> Edit:
+        self.changes.append(Change(kind, attribute, tuple(str(v) for v in values)))
+        return self
+
+    def add(self, attribute: str, *values) -> Edit:
+        return self._record("add", attribute, values)
+
+    def remove(self, attribute: str, *values) -> Edit:
+        return self._record("delete", attribute, values) if values else self
+
+    def reset(self, *attributes: str) -> Edit:
+        for a in attributes:
+            self._record("delete", a, ())
+        return self
+
+    def set(self, attribute: str, *values) -> Edit:
+        return self._record("replace", attribute, values)
+
+    def has(self, change: Change) -> bool:
+        return change in self.changes
+
+    def without(self, *changes: Change) -> Edit:
+        return Edit(self.dn, (c for c in self.changes if c not in changes))
+
+    def apply(self, entries: DataFrame, check: bool = False) -> DataFrame:
+        return modify(entries, self.dn, self.changes, check)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The changes as a log: seq, dn, kind, attribute, values."""
+        log = [(k, self.dn, KINDS[c.kind], c.attribute, list(c.values)) for k, c in enumerate(self.changes)]
+        return spark.createDataFrame(log, "seq long, dn string, kind int, attribute string, values array<string>")
+
+
+def save(entries: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a new state of the entries to a new folder and read it back; the old one stays as it is."""
+    entries.write.partitionBy(*partition_by).parquet(path)
+    return entries.sparkSession.read.parquet(path)
+
+
 def add(entries: DataFrame, new: DataFrame, check: bool = True) -> DataFrame:
     """Entries and the new ones, whose names must be free and whose parents must be there (or be new, or be roots)."""
     if check:
@@ -71,14 +124,30 @@ def _without(attrs: Column, key: str) -> Column:
     return F.map_filter(attrs, lambda k, v: k != key)
 
 
-def modify(entries: DataFrame, dn: str, changes: list[Change]) -> DataFrame:
-    """The generic layout with the changes made in order on one entry."""
-    here, attrs = F.lower("dn") == dn.lower(), F.col("attrs")
+def modify(entries: DataFrame, dn: str, changes: list[Change], check: bool = False) -> DataFrame:
+    """The generic layout with the changes made in order on one entry.
+
+    With check, adding a value that is there and deleting one that isn't are errors, as is a missing entry.
+    """
+    here, attrs, wrong = F.lower("dn") == dn.lower(), F.col("attrs"), []
     for c in changes:
         key = c.attribute.lower()
-        rest = _without(attrs, key)
+        have = F.coalesce(F.try_element_at(attrs, F.lit(key)), F.array().cast(_TEXTS))
+        given = F.array(*map(F.lit, c.values)).cast(_TEXTS)
+        if c.kind == "add":
+            wrong.append(F.when(F.arrays_overlap(have, given), int(ResultCode.ATTRIBUTE_OR_VALUE_EXISTS)))
+        elif c.kind == "delete":
+            missing = F.size(F.array_except(given, have)) > 0 if c.values else F.size(have) == 0
+            wrong.append(F.when(missing, int(ResultCode.NO_SUCH_ATTRIBUTE)))
         own = changed(F.try_element_at(attrs, F.lit(key)), c)
+        rest = _without(attrs, key)
         attrs = F.when(own.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), own)))
+    if check:
+        found = entries.where(here).select(F.coalesce(*wrong, F.lit(0)).alias("code")).first()
+        if found is None:
+            raise DirectoryError(f"no entry {dn}", ResultCode.NO_SUCH_OBJECT)
+        if found["code"]:
+            raise DirectoryError(f"{ResultCode(found['code']).words} in {dn}", ResultCode(found["code"]))
     return entries.withColumn("attrs", F.when(here, attrs).otherwise(F.col("attrs")))
 
 

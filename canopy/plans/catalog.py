@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from canopy.functions import filters as f
 from canopy.functions import names, url
-from canopy.model import Scope, SearchRequest, SortKey
+from canopy.model import ResultCode, Scope, SearchRequest, SortKey
 from canopy.operators import cursors, updates
-from canopy.operators.search import expected_count, size_limited
+from canopy.operators.search import Directory, expected_count, register_control, size_limited
 from canopy.sources import generic
+from canopy.sources.relation import Attribute, Relation
 from canopy.sources.tree import directory, read
 from canopy.streaming import changes
 
@@ -103,10 +104,10 @@ _customers(
     "not (c_mktsegment = 'BUILDING' and c_acctbal >= 0)",
 )
 _parts("filter_startswith", "(p_name=small*)", "starts_with(p_name, 'small')")
-_parts("filter_endswith", "(p_name=*1)", "ends_with(p_name, '1')")
+_parts("filter_endswith", "(p_name=*bolt)", "ends_with(p_name, 'bolt')")
 _parts("filter_contains", "(p_name=*a*)", "contains(p_name, 'a')")
 _parts("filter_substring_mixed", "(p_name=s*l*t*)", "p_name like 's%l%t%'")
-_parts("filter_substring_overlap", f.Substring("p_type", "A", ("N", "N"), None), "p_type like 'A%N%N%'")
+_parts("filter_substring_overlap", f.Substring("p_type", "S", ("A", "D"), "D"), "p_type like 'S%A%D%D'")
 _parts("filter_not_substring", "(&(objectClass=part)(!(p_name=*a*)))", "not contains(p_name, 'a')")
 _customers("filter_escaped", "(c_name=Customer\\23000000001)", "c_name = 'Customer#000000001'")
 _customers("filter_approx", "(c_mktsegment~=MACHINERY)", "c_mktsegment = 'MACHINERY'")
@@ -125,6 +126,27 @@ _orders(
     "(&(objectClass=salesOrder)(!(l_partkey=*)))",
     "not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
 )
+_customers(
+    "filter_many_branches",
+    f.all_of(f.equal("objectClass", "customer"), f.any_of(*(f.equal("c_custkey", str(7 * k)) for k in range(20_000)), f.at_least("c_acctbal", "9900"))),
+    "c_custkey % 7 = 0 and c_custkey < 140000 or c_acctbal >= 9900",
+)
+_customers(
+    "filter_many_not",
+    f.all_of(f.equal("objectClass", "customer"), *(f.negate(f.equal("c_custkey", str(3 * k))) for k in range(2_000))),
+    "not (c_custkey % 3 = 0 and c_custkey < 6000)",
+)
+_parts(
+    "filter_deep",
+    "(&(objectClass=part)" * 1500 + "(p_size>=40)" + ")" * 1500,
+    "p_size >= 40",
+)
+_orders(
+    "filter_multivalue_or",
+    "(|(&(l_returnflag=R)(o_totalprice<=20000))(l_quantity>=50))",
+    "exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') and o_totalprice <= 20000"
+    " or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity >= 50)",
+)
 _customers("filter_undefined", "(&(objectClass=customer)(!(noSuchAttribute=1)))", "false")
 _customers("filter_empty_and", f.all_of(f.equal("objectClass", "customer"), f.all_of()), "true")
 
@@ -227,14 +249,28 @@ _search(
 
 
 @query(
-    f"select '<GUID=' || md5({_CUST}) || '>;<SID=' || c_custkey || '>;' || {_CUST} as extended, case when c_acctbal < 0 then null else c_name end as owner from {_C}"
+    f"select '<GUID=' || md5({_CUST}) || '>;' || case when c_acctbal < 0 then '' else '<SID=' || c_custkey || '>;' end || {_CUST} as extended from {_C}"
 )
 def project_extended_dn(spark, sf_dir):
-    """Names with identifiers in front; a part of the entry shown only if its flag is set."""
-    found = directory(spark, sf_dir).search(filter="(objectClass=customer)", attributes=("c_custkey", "c_name", "c_acctbal"))
-    flags = F.when(F.col("c_acctbal") < 0, 2).otherwise(3)
-    extended = F.concat(F.lit("<GUID="), F.md5("dn"), F.lit(">;<SID="), F.col("c_custkey"), F.lit(">;"), F.col("dn"))
-    return found.select(extended.alias("extended"), F.when(flags.bitwiseAND(F.lit(1)) != 0, F.col("c_name")).alias("owner"))
+    """Names with identifiers in front; a missing one is left out."""
+    found = directory(spark, sf_dir).search(filter="(objectClass=customer)", attributes=("c_custkey", "c_acctbal"))
+    sid = F.when(F.col("c_acctbal") >= 0, F.col("c_custkey"))
+    return found.select(names.extended_dn(F.col("dn"), F.md5("dn"), sid).alias("extended"))
+
+
+@query(
+    f"select {_CUST} as dn, case when c_custkey % 16 % 2 = 1 then c_name end as owner, case when c_custkey % 16 // 2 % 2 = 1 then c_mktsegment end as group_name,"
+    f" case when c_custkey % 16 // 4 % 2 = 1 then n_name end as dacl from {_C}"
+)
+def project_sd_flags(spark, sf_dir):
+    """Parts of a security descriptor by the flags asked for."""
+    found = directory(spark, sf_dir).search(filter="(objectClass=customer)", attributes=("c_custkey", "c_name", "c_mktsegment", "n_nationkey"))
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    flags = (F.col("c_custkey") % 16).cast("int")
+    part = lambda column, flag, name: names.descriptor_part(F.col(column), flag, flags).alias(name)
+    return found.join(nation, "n_nationkey").select(
+        "dn", part("c_name", names.OWNER, "owner"), part("c_mktsegment", names.GROUP, "group_name"), part("n_name", names.DACL, "dacl")
+    )
 
 
 @query(f"select {_PART} as dn, 'p_size' as attribute, cast(p_size as varchar) as value from part union all select {_PART}, 'p_brand', p_brand from part")
@@ -335,15 +371,45 @@ _MEMBER = "(select c_nationkey, c_custkey, row_number() over (partition by c_nat
 
 @query(f"select {_NATION} as dn, c_custkey as value, value_index from nation join {_MEMBER} on c_nationkey = n_nationkey where value_index between 10 and 19")
 def range_values(spark, sf_dir):
-    found = directory(spark, sf_dir).search(filter="(objectClass=nation)", attributes=("member",))
     low, high = cursors.range_option("range=10-19")
-    return cursors.exploded(found.drop("objectClass"), "member", low, high)
+    return cursors.ranged_values(directory(spark, sf_dir).values("nation", "member"), low, high)
 
 
 @query(f"select {_NATION} as dn, c_custkey as value, value_index from nation join {_MEMBER} on c_nationkey = n_nationkey")
 def range_all(spark, sf_dir):
-    found = directory(spark, sf_dir).search(filter="(objectClass=nation)", attributes=("member",))
-    return cursors.exploded(found.drop("objectClass"), "member")
+    return cursors.ranged_values(directory(spark, sf_dir).values("nation", "member"))
+
+
+@query(
+    f"select {_NATION} as dn, 'member' as attribute, cast(n_nationkey as bigint) as low, case when n_nationkey % 2 = 0 then cast(n_nationkey as bigint) + 9 end as high,"
+    f" n_name as value from nation where n_nationkey <> 7"
+)
+def range_options(spark, sf_dir):
+    """Attributes that came in part, by their range option."""
+    found = directory(spark, sf_dir).search(filter="(objectClass=nation)", attributes=("n_nationkey", "n_name"))
+    k = F.col("n_nationkey")
+    part = F.concat(F.lit("member;Range="), k, F.lit("-"), F.when(k % 2 == 0, (k + 9).cast("string")).otherwise("*"))
+    key = F.when(k == 7, F.lit("member")).otherwise(part)
+    entries = found.select("dn", F.create_map(key, F.array("n_name"), F.lit("cn"), F.array("n_name")).alias("attrs"))
+    return generic.ranged(entries, "MEMBER").select("dn", "attribute", "low", "high", F.col("values")[0].alias("value"))
+
+
+@query(
+    "select event_id, 'CN' as name, list_aggregate(list_sort(['lang-en', event_type]), 'string_agg', ',') as options,"
+    " 'cn;' || list_aggregate(list_sort(['lang-en', event_type]), 'string_agg', ';') as printed, event_type = 'click' as has_click from events"
+)
+def attribute_options(spark, sf_dir):
+    """Options of attribute descriptions, read, printed and asked for."""
+    written = F.concat(F.lit("CN;"), F.upper("event_type"), F.lit(";Lang-EN"))
+    rows = read(spark, sf_dir, "events").select("event_id", written.alias("description"))
+    name, own = names.attribute_name(F.col("description")), names.options_column(F.col("description"))
+    return rows.select(
+        "event_id",
+        name.alias("name"),
+        F.array_join(own, ",").alias("options"),
+        names.description_column(name, own).alias("printed"),
+        F.array_contains(own, "click").alias("has_click"),
+    )
 
 
 @query(
@@ -351,16 +417,75 @@ def range_all(spark, sf_dir):
     " count(*) filter (c_custkey = 7) > 0 as has_seven, count(*) > 20 as has_more from nation left join customer on c_nationkey = n_nationkey group by n_nationkey"
 )
 def multi_counts(spark, sf_dir):
-    found = directory(spark, sf_dir).search(filter="(objectClass=nation)", attributes=("n_nationkey", "member"))
-    m = F.col("member")
-    return found.select(
+    """Counts over the values of a long attribute, combined before any shuffle."""
+    values = directory(spark, sf_dir).values("nation", "member")
+    counts = values.groupBy("dn").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.max(F.col("value") == 7).alias("seven")
+    )
+    nations = directory(spark, sf_dir).search(filter="(objectClass=nation)", attributes=("n_nationkey",))
+    n = F.coalesce("n", F.lit(0))
+    return nations.join(counts, "dn", "left").select(
         "n_nationkey",
-        F.coalesce(F.size(m), F.lit(0)).cast("long").alias("members"),
-        F.try_element_at(m, F.lit(1)).alias("first_value"),
-        F.try_element_at(m, F.lit(-1)).alias("last_value"),
-        F.coalesce(F.array_contains(m, 7), F.lit(False)).alias("has_seven"),
-        (F.size(m) > 20).alias("has_more"),
+        n.alias("members"),
+        F.col("low").alias("first_value"),
+        F.col("high").alias("last_value"),
+        F.coalesce("seven", F.lit(False)).alias("has_seven"),
+        (n > 20).alias("has_more"),
+    )
+
+
+@query(f"select {_CUST} as dn, 'customer' as \"objectClass\", c_name from {_C} where c_custkey = 7")
+def entry_get(spark, sf_dir):
+    """An entry by its name, the name taken from the directory itself."""
+    d = directory(spark, sf_dir)
+    dn = d.search(filter="(c_custkey=7)", attributes=("1.1",)).where("objectClass = 'customer'").first()["dn"]
+    return d.get(dn, "c_name")
+
+
+@query(f"select {_CUST} as dn, c_custkey from {_C} where c_custkey = 11")
+def entries_get(spark, sf_dir):
+    every = directory(spark, sf_dir).search(filter="(objectClass=customer)", attributes=("c_custkey",)).drop("objectClass")
+    return cursors.get(every, every.where("c_custkey = 11").first()["dn"])
+
+
+def _events_with_tombstones(spark, sf_dir):
+    """Events as entries, where errors are tombstones."""
+    own = Relation(
+        "event",
+        lambda needed: read(spark, sf_dir, "events"),
+        [("dc", "log"), ("event_id", None)],
+        {"event_id": Attribute("event_id", "int"), "event_type": Attribute("event_type"), "user_id": Attribute("user_id", "int")},
+        deleted="event_type = 'error'",
     )
+    return Directory([own], "dc=log")
+
+
+@query("select event_type, count(*) as entries from events where event_type <> 'error' and user_id >= 10 group by event_type")
+def deleted_hidden(spark, sf_dir):
+    found = _events_with_tombstones(spark, sf_dir).search(filter="(user_id>=10)", attributes=("event_type",))
+    return found.groupBy("event_type").agg(F.count("*").alias("entries"))
+
+
+@query("select event_type, count(*) as entries from events where user_id >= 10 group by event_type")
+def deleted_shown(spark, sf_dir):
+    found = _events_with_tombstones(spark, sf_dir).search(filter="(user_id>=10)", attributes=("event_type",), show_deleted=True)
+    return found.groupBy("event_type").agg(F.count("*").alias("entries"))
+
+
+@query(f"select {_SUPP} as dn, s_name as name from {_S} where s_suppkey % 3 = 0 or s_suppkey % 3 = 1 and s_acctbal >= 0")
+def alias_dereference(spark, sf_dir):
+    """Aliases of suppliers, aliases of these, one that leads nowhere and two in a ring; suppliers of three kinds."""
+    found = directory(spark, sf_dir).search(filter="(objectClass=supplier)", attributes=("s_suppkey", "s_name", "s_acctbal"))
+    k = F.col("s_suppkey")
+    entry = lambda dn, key, value: F.struct(dn.alias("dn"), F.create_map(F.lit(key), F.array(value)).alias("attrs"))
+    alias = lambda tag: F.concat(F.lit(f"cn={tag}"), k, F.lit(",dc=tpch"))
+    own = found.select(k.alias("k"), "s_acctbal", entry(F.col("dn"), "name", F.col("s_name")).alias("e"), *(entry(alias(t), "aliasedobjectname", x).alias(t) for t, x in (("a", F.col("dn")), ("b", alias("a")))))
+    shown = own.where("k % 3 = 0").select("e.*")
+    aliased = own.where("k % 3 = 1 AND s_acctbal >= 0").select(F.explode(F.array("a", "b")).alias("x")).select("x.*")
+    ring = spark.createDataFrame([(f"cn=r{j},dc=tpch", {"aliasedobjectname": [f"CN=R{1 - j},dc=tpch"]}) for j in range(2)] + [("cn=x", {"aliasedobjectname": ["cn=nowhere"]})], generic.SCHEMA)
+    entries = shown.unionByName(aliased).unionByName(ring)
+    out = generic.dereference(entries, own.select("e.*").unionByName(aliased).unionByName(ring))
+    return out.select("dn", F.col("attrs")["name"][0].alias("name"))
 
 
 @query(f"select {_CUST} as dn, c_name from {_C} where c_custkey = 7")
@@ -432,6 +557,30 @@ def update_modify(spark, sf_dir):
     return out.select("dn", text("p_brand").alias("brands"), text("p_size").alias("size"), text("p_type").alias("type"))
 
 
+@query(
+    f"select {_PART} as dn, case when p_partkey = 9 then p_brand || ',extra' else p_brand end as brands, case when p_partkey = 9 then '1,2' else cast(p_size as varchar) end as size,"
+    " case when p_partkey = 9 then null else p_type end as type from part"
+)
+def update_edit(spark, sf_dir):
+    """An entry edited through an object that keeps the changes, then applied with the checks on."""
+    found = directory(spark, sf_dir).search(filter="(objectClass=part)", attributes=("p_brand", "p_size", "p_type"))
+    entries = generic.from_mapped(found, ["p_brand", "p_size", "p_type"])
+    edit = updates.Edit("p_partkey=9,ou=parts,dc=tpch").add("p_brand", "extra", "gone").remove("p_brand", "gone").remove("p_brand").set("p_size", 1, 2).reset("p_type")
+    out = edit.apply(entries, check=True)
+    text = lambda a: F.array_join(F.try_element_at("attrs", F.lit(a)), ",")
+    return out.select("dn", text("p_brand").alias("brands"), text("p_size").alias("size"), text("p_type").alias("type"))
+
+
+@query(
+    "select * from (values (0::bigint, 'cn=a', 0, 'mail', 'x,y'), (1::bigint, 'cn=a', 1, 'mail', 'x'), (2::bigint, 'cn=a', 2, 'sn', 'z'), (3::bigint, 'cn=a', 1, 'uid', ''))"
+    " t(seq, dn, kind, attribute, given)"
+)
+def update_change_log(spark, sf_dir):
+    """The changes of an edit as rows."""
+    edit = updates.Edit("cn=a").add("mail", "x", "y").remove("mail", "x").remove("sn").set("sn", "z").reset("uid")
+    return edit.rows(spark).select("seq", "dn", "kind", "attribute", F.array_join("values", ",").alias("given"))
+
+
 # Change feed
 def _feed(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -490,6 +639,40 @@ def root_dse(spark, sf_dir):
     return generic.root_dse(spark, ["dc=tpch"], ["1.3.6.1.4.1.4203.1.11.3"], "Canopy")
 
 
+@query("select 'dc=tpch' as \"namingContexts\", 'Canopy 2' as \"vendorName\"")
+def root_dse_project(spark, sf_dir):
+    """Attributes asked for without regard to case, after a hook."""
+    hook = lambda row: row.withColumn("vendorName", F.concat("vendorName", F.lit(" 2")))
+    return generic.root_dse(spark, ["dc=tpch"], [], "Canopy", attributes=("VENDORNAME", "namingcontexts"), hook=hook)
+
+
+@query(f"select {_CUST} as dn, c_name, c_acctbal from {_C} where c_mktsegment = 'BUILDING' and c_acctbal < 100")
+def filter_edited(spark, sf_dir):
+    """A container taken apart and put together again."""
+    node = f.all_of(f.equal("objectClass", "customer"), f.at_least("c_acctbal", "0"), f.equal("c_mktsegment", "BUILDING"))
+    node = node.removed(f.at_least("c_acctbal", "0")).added(f.negate(f.at_least("c_acctbal", "100")))
+    assert len(node) == 3 and node.has(f.equal("c_mktsegment", "BUILDING"))
+    return directory(spark, sf_dir).search(filter=node, attributes=("c_name", "c_acctbal")).drop("objectClass")
+
+
+@register_control("1.1.1.1")
+def _sampled_by_key(found, value):
+    return found.where(F.col("c_custkey") % int(value) == 0)
+
+
+@query(f"select {_CUST} as dn, c_custkey from {_C} where c_acctbal >= 0 and c_custkey % 10 = 0")
+def control_custom(spark, sf_dir):
+    """A control of one's own, in a search."""
+    request = SearchRequest(filter="(&(objectClass=customer)(c_acctbal>=0))", attributes=("c_custkey",), controls=(("1.1.1.1", 10),))
+    return directory(spark, sf_dir).search(request).drop("objectClass")
+
+
+@query("select 16 as code, 'no such attribute' as words union all select 20, 'attribute or value exists' union all select 68, 'entry already exists'")
+def result_code_words(spark, sf_dir):
+    rows = [(int(c), c.words) for c in (ResultCode.NO_SUCH_ATTRIBUTE, ResultCode.ATTRIBUTE_OR_VALUE_EXISTS, ResultCode.ENTRY_ALREADY_EXISTS)]
+    return spark.createDataFrame(rows, "code int, words string")
+
+
 @query(f"select {_REGION} as dn, r_name as name from region union all select {_NATION}, n_name from nation union all select {_REGION}, r_name from region")
 def entries_union(spark, sf_dir):
     d = directory(spark, sf_dir)

@@ -12,16 +12,31 @@ from pyspark.sql.types import StringType
 from canopy.functions.names import escape_value_column
 
 
+@dataclass(frozen=True)
+class Detail:
+    """Where the values of a multi-valued attribute stand: a row each, with the entry's key."""
+
+    rows: Callable[[], DataFrame]
+    key: str
+    own: str
+
+    def exists(self, test: Column) -> Column:
+        """Whether the entry has a value that passes: a semi join, or an anti join where it is negated."""
+        return self.rows().where((F.col(self.key) == F.col(self.own).outer()) & test).exists()
+
+
 @dataclass(frozen=True)
 class Attribute:
     """How an attribute is stored and compared.
 
-    syntax: ci_string, cs_string, int, double, bool, time, dn. multi: the column is an array of values.
+    syntax: ci_string, cs_string, int, double, bool, time, dn. multi: the column is an array of values. With a detail,
+    the array is made only to be shown: filters, sorting and ranges use the rows.
     """
 
     column: str
     syntax: str = "cs_string"
     multi: bool = False
+    detail: Detail | None = field(default=None, compare=False)
 
 
 @dataclass
@@ -29,13 +44,14 @@ class Relation:
     """frame(needed) gives a DataFrame with at least the needed columns, so that joins come in only when asked for.
 
     path: from the root down, (attribute, value) for fixed parts of the name and (attribute, None) for a key column of
-    that name.
+    that name. deleted: a SQL condition that tells tombstones, which only a request that asks for them shows.
     """
 
     object_class: str
     frame: Callable[[set[str]], DataFrame]
     path: list[tuple[str, str | None]]
     attributes: dict[str, Attribute] = field(default_factory=dict)
+    deleted: str | None = None
 
     def find(self, name: str) -> Attribute | None:
         """By full description first, then by the name without options."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.search import Directory
-from canopy.sources.relation import Attribute, Relation
+from canopy.sources.relation import Attribute, Detail, Relation
 
 ROOT = "dc=tpch"
 
@@ -21,9 +21,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _attributes(**kinds: str) -> dict[str, Attribute]:
-    """name = syntax, with [] behind it for several values."""
-    return {n.lower(): Attribute(n, k.removesuffix("[]"), k.endswith("[]")) for n, k in kinds.items()}
+def _attributes(detail: Detail | None = None, **kinds: str) -> dict[str, Attribute]:
+    """name = syntax, with [] behind it for several values, which stand in the detail's rows."""
+    return {n.lower(): Attribute(n, k.removesuffix("[]"), k.endswith("[]"), detail if k.endswith("[]") else None) for n, k in kinds.items()}
 
 
 def directory(spark: SparkSession, sf_dir: str) -> Directory:
@@ -69,12 +69,14 @@ def directory(spark: SparkSession, sf_dir: str) -> Directory:
             out = out.join(table("labels"), "doc_id", "left")
         return out
 
+    members = Detail(lambda: table("customer").select("c_nationkey", F.col("c_custkey").alias("member")), "c_nationkey", "n_nationkey")
+    items = Detail(lambda: table("lineitem").select("l_orderkey", *lines), "l_orderkey", "o_orderkey")
     top, region, nation = ("dc", "tpch"), ("r_regionkey", None), ("n_nationkey", None)
     return Directory(
         [
             Relation("region", regions, [top, region], _attributes(r_regionkey="int", r_name="cs_string")),
             Relation(
-                "nation", nations, [top, region, nation], _attributes(n_nationkey="int", n_name="cs_string", member="int[]")
+                "nation", nations, [top, region, nation], _attributes(members, n_nationkey="int", n_name="cs_string", member="int[]")
             ),
             Relation(
                 "customer",
@@ -96,7 +98,7 @@ def directory(spark: SparkSession, sf_dir: str) -> Directory:
                 _attributes(
                     o_orderkey="int", o_orderstatus="cs_string", o_totalprice="double", o_orderdate="time", o_orderpriority="cs_string"
                 )
-                | _attributes(l_partkey="int[]", l_suppkey="int[]", l_returnflag="cs_string[]", l_linestatus="cs_string[]", l_quantity="double[]"),
+                | _attributes(items, l_partkey="int[]", l_suppkey="int[]", l_returnflag="cs_string[]", l_linestatus="cs_string[]", l_quantity="double[]"),
             ),
             Relation(
                 "part",

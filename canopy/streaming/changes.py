@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from canopy.operators import cursors
+
 
 def since(feed: DataFrame, number: str, cookie: int | None = None, condition: Column | None = None) -> DataFrame:
     """The changes after the cookie; both predicates reach the scan."""
@@ -79,5 +81,5 @@ def running_counts(spark: SparkSession, path: str, schema, key: str, table: str,
 
 
 def numbered(changes: DataFrame, key: str, number: str) -> DataFrame:
-    """Each change with its place among its key's."""
-    return changes.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(number)).cast("long"))
+    """Each change with its place among its key's, however many those are."""
+    return cursors.numbered(changes, [key], [F.col(number)], "version")

@@ -45,6 +45,32 @@ def test_rejected(text):
         f.parse(text)
 
 
+def test_any_size_and_depth():
+    text = "(&(|" * 2500 + "(a=1)" + "))" * 2500
+    assert f.show(f.parse(text)) == text
+    wide = "(|" + "".join(f"(a={k})" for k in range(20_000)) + ")"
+    assert len(f.parse(wide)) == 20_000 and str(f.parse(wide)) == wide
+    for wrong in ("(&" * 5000, "(&" * 5000 + "(a=1)", "(|(a=1)" * 3000 + ")" * 2999):
+        with pytest.raises(FilterParseError):
+            f.parse(wrong)
+
+
+def test_containers_are_edited_as_new_ones():
+    a, b, c = (f.equal(x, "1") for x in "abc")
+    node = f.all_of(a, b)
+    assert node.has(a) and not node.has(c) and len(node) == 2 and list(node) == [a, b]
+    assert node.added(c).removed(a) == f.all_of(b, c) and node.replaced(c) == f.all_of(c) and node == f.all_of(a, b)
+    assert f.any_of() or False
+
+
+def test_url_extensions():
+    parsed = url.parse("ldap:///dc=x????!e-bindname=cn=a%2cdc=b,x,y=1")
+    assert parsed.extensions == (url.Extension("e-bindname", "cn=a,dc=b", True), url.Extension("x"), url.Extension("y", "1"))
+    assert url.parse(str(parsed)) == parsed
+    with pytest.raises(DirectoryError):
+        url.parse_extension("!")
+
+
 def test_lenient_negation():
     assert f.parse("(!(&(a=1)(b=2)))", strict=False) == f.negate(f.all_of(f.equal("a", "1"), f.equal("b", "2")))
 
