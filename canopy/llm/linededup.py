@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import ROWS, doc_key, drop_table, fresh, materialize, named, slices
+from canopy.llm.words import BASE, hashed_words, mixed, powers
 
 GRAM_WORDS, WINDOW_WORDS, LINE_WORDS = 20, 40, 12
 LONG_WORD = 16
@@ -39,25 +40,13 @@ GROUP = 256
 #: By code point: blanks, and marks that end a sentence.
 _BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
 _END = np.array([chr(c) in ".!?;:" for c in range(128)])
-_CODE = np.random.default_rng(20240301).integers(1, 2**63, 1 << 16, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
+_INVERSE = pow(BASE, -1, 2**64)
 
 
 def _runs(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
     """Hash of every run of words low..high, by prefix sums of a polynomial modulo 2^64."""
     sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
-    return _mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+    return mixed((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
 
 
 def fingerprints(texts: list[str], gram_words: int, window_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,26 +61,17 @@ def fingerprints(texts: list[str], gram_words: int, window_words: int, line_word
     size = np.array([len(t) for t in texts], np.int64)
     first = np.concatenate(([0], np.cumsum(size + 1)))
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = np.concatenate(([True], _BLANK[np.minimum(points, len(_BLANK) - 1)], [True]))
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends, hashes = hashed_words(points, _BLANK[np.minimum(points, len(_BLANK) - 1)])
     n = len(starts)
     if not n:
         return none, none, none
-    # words: a polynomial of their characters
-    longest = int((ends - starts).max())
-    inside = np.arange(len(points)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(points)]))))
-    inside = np.minimum(inside, longest)
-    letters = (_CODE[points & np.uint32(0xFFFF)] ^ (points >> np.uint32(16))) * _powers(_BASE, longest)[inside]
-    letters[blank[1:-1]] = 0
-    hashes = _mix(np.add.reduceat(letters, starts) + (ends - starts).astype(np.uint64))
     until = np.concatenate(([0], np.cumsum((ends - starts + LONG_WORD - 1) // LONG_WORD)))
     text_of = np.searchsorted(first, starts, side="right") - 1
-    up, down = _powers(_BASE, n), _powers(_INVERSE, n)
+    up, down = powers(BASE, n), powers(_INVERSE, n)
     # lines: runs of words between line ends
     line = np.unique(np.concatenate(([0], np.searchsorted(starts, np.flatnonzero(points == 10)), [n])))
     long = np.flatnonzero(until[line[1:]] - until[line[:-1]] >= line_words)
-    lines = _mix(_runs(hashes, line[long], line[long + 1], up, down) + np.uint64(1))
+    lines = mixed(_runs(hashes, line[long], line[long + 1], up, down) + np.uint64(1))
     # parts: from word `low` to before word `high`
     cut = (hashes >> np.uint64(40)) % np.uint64(4) == 0
     cut |= _END[np.minimum(points[ends - 1], len(_END) - 1)]
@@ -242,14 +222,14 @@ def repeated_runs(
     texts = docs.where("text IS NOT NULL").select(doc_key().alias("doc"), F.xxhash64("text").alias("hash"), "text")
     every = texts.mapInPandas(_fingerprint_rows(gram_words, window_words, line_words), "fp long, doc long, hash long, at long")
     every = materialize(every)
-    # most fingerprints occur once: only the others go on. What a join reads is written first, so that Spark knows its
-    # size and can split a frequent fingerprint's rows
+    # most fingerprints occur once: only the others go on. What a join reads is written first, so that Spark can split a
+    # frequent fingerprint's rows; it is a merge at every size, since a broadcast would have no bound
     often = materialize(every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    fps = materialize(every.join(often, "fp"))
+    fps = materialize(every.hint("merge").join(often, "fp"))
     drop_table(every, often)
     place = F.struct("doc", "hash", "at")
     firsts = materialize(fps.groupBy("fp").agg(F.min(place).alias("first")))
-    matches = fps.join(firsts, "fp").where(place > F.col("first"))
+    matches = fps.hint("merge").join(firsts, "fp").where(place > F.col("first"))
     pairs = matches.groupBy(
         "doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash")
     ).agg(F.collect_list("at").alias("here"), F.collect_list("first.at").alias("there"))
@@ -271,7 +251,7 @@ def repeated_runs(
         none.alias("here"),
         none.alias("there"),
     )
-    both = materialize(later.unionByName(leading)).join(texts, ["doc", "hash"])
+    both = later.unionByName(leading).hint("merge").join(texts, ["doc", "hash"])
     runs = (
         both.repartition(*key, "group")
         .sortWithinPartitions(*key, "group", F.desc("leads"))
@@ -293,7 +273,7 @@ def remove_repeats(
     found = materialize(repeated_runs(docs, gram_words, window_words, line_words))
     found = found.select(F.col("doc").alias(doc), F.col("hash").alias(own), F.col("runs").alias(runs))
     keyed = docs.withColumns({doc: doc_key(), own: F.xxhash64("text")})
-    joined = keyed.join(found, [doc, own], "left")
+    joined = keyed.hint("merge").join(found, [doc, own], "left")
     hit = F.col(runs).isNotNull()
     cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("text")), F.when(hit, F.col(runs)))
     joined = joined.withColumn(new, F.when(hit, cut).otherwise(F.col("text")))

@@ -16,6 +16,9 @@ ever written. Those that are too large for one task are dealt into chunks; after
 main component are compared with all chunks, block by block and only across components, which finds every link that the
 first pass could have missed.
 
+Tables that grow with the corpus are joined by sorting at every size: no broadcast of them would have a bound. Those that
+a frequent key could skew are read from files on both sides, so that Spark can split it.
+
 Documents with equal shingle sets are one node from the start. Words are runs of non-blank bytes (space, \\t to \\r)
 after lower-casing A-Z; a set holds the distinct five-word shingles, or the whole sequence of a shorter text, by 64-bit
 hashes of words and shingles. Null and blank texts have the empty set and are linked with nothing. Every row is a
@@ -33,8 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import drop_table, materialize
+from canopy.llm.common import drop_table, materialize, slices
 from canopy.llm.components import connected, grouped
+from canopy.llm.words import hashed_words, mixed
 
 WORDS, PERCENT = 5, 80
 #: Hashes of a signature, those of a tree at most, and depths before the last.
@@ -43,6 +47,9 @@ MISSED = 0.0006
 #: A task compares at most so many documents and words; larger groups are dealt into chunks.
 REGION_DOCS, REGION_WORDS = 4096, 4_000_000
 
+#: Bytes of words: A-Z in lower case, and what stands between words.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -62,41 +69,29 @@ def needed(percent: int) -> int:
     return max(1, int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_word_hash = _WordHash()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n < WORDS:
-        return _mix((words * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _ODD[0])
-    total = words[: n - WORDS + 1] * _ODD[0]
-    for k in range(1, WORDS):
-        total = total + words[k : n - WORDS + 1 + k] * _ODD[k]
-    return np.unique(_mix(total))
+def shingle_sets(texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
+    """(words, sorted distinct 64-bit hashes of the shingles) of every text."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    first = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    units = _LOWER[np.frombuffer(b"\n".join(raw), np.uint8)]
+    starts, _, words = hashed_words(units, _BLANK[units])
+    edge = np.searchsorted(starts, first)
+    many = max(0, len(words) - WORDS + 1)
+    total = np.zeros(many, np.uint64)
+    for k in range(WORDS):
+        total += words[k : many + k] * _ODD[k]
+    total = mixed(total)
+    out = []
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        n = high - low
+        if n >= WORDS:
+            own = np.unique(total[low : high - WORDS + 1])
+        elif n:
+            own = mixed((words[low:high] * _ODD[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _ODD[0])
+        else:
+            own = np.zeros(0, np.uint64)
+        out.append((n, own))
+    return out
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -109,15 +104,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sketched(text: pd.Series) -> pd.DataFrame:
     rows = []
-    for t in text:
-        words = word_hashes(t)
-        shingles = shingle_set(words)
-        if len(shingles):
-            own = signature(shingles)
-            digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-            rows.append((len(shingles), len(words), digest, own.astype(">u4").tobytes(), own.astype(np.uint8).tobytes()))
-        else:
-            rows.append((0, 0, None, None, None))
+    for part in slices([text.to_frame("text")], texts="text"):
+        for n, shingles in shingle_sets(part["text"].tolist()):
+            if n:
+                own = signature(shingles)
+                digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+                rows.append((len(shingles), n, digest, own.astype(">u4").tobytes(), own.astype(np.uint8).tobytes()))
+            else:
+                rows.append((0, 0, None, None, None))
     return pd.DataFrame(rows, columns=["n_shingles", "n_words", "digest", "signature", "sketch"])
 
 
@@ -135,7 +129,7 @@ class _Sets:
     """Shingle sets of a cluster's documents, laid out for counting one set's overlap with all others."""
 
     def __init__(self, payloads: list[str], percent: int):
-        sets = [shingle_set(word_hashes(t)) for t in payloads]
+        sets = [own for _, own in shingle_sets(payloads)]
         self.percent = percent
         self.size = np.array([len(s) for s in sets], np.int64)
         self.edge = np.concatenate(([0], np.cumsum(self.size)))
@@ -221,7 +215,7 @@ def _search(members: DataFrame, payloads: DataFrame, kind, percent: int) -> tupl
     The second value tells whether they are stars around the smallest node of each, as where no bucket has many chunks.
     """
     stars = materialize(
-        members.join(payloads, "node")
+        members.hint("merge").join(payloads, "node")
         .repartition("bucket", "chunk")
         .sortWithinPartitions("bucket", "chunk", "place", "node")
         .select("bucket", "chunk", "node", "payload")
@@ -232,7 +226,7 @@ def _search(members: DataFrame, payloads: DataFrame, kind, percent: int) -> tupl
     if large.isEmpty():
         return stars, True
     component = connected(stars)
-    known = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = large.hint("merge").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = materialize(known.select("bucket", "chunk", "chunks", "node", "component"))
     counts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"))
@@ -241,7 +235,7 @@ def _search(members: DataFrame, payloads: DataFrame, kind, percent: int) -> tupl
     asking = rest.select("bucket", "asked", every, "node", "component", F.lit(True).alias("asks"))
     answering = known.join(rest.select("bucket", "asked").distinct(), "bucket")
     answering = answering.select("bucket", "asked", "chunk", "node", "component", F.lit(False).alias("asks"))
-    blocks = asking.unionByName(answering).join(payloads, "node")
+    blocks = asking.unionByName(answering).hint("merge").join(payloads, "node")
     found = (
         blocks.repartition("bucket", "asked", "chunk")
         .sortWithinPartitions("bucket", "asked", "chunk")
@@ -279,12 +273,12 @@ def _regions(nodes: DataFrame, depths, most_docs: int, most_words: int) -> DataF
         )
         last = d == depths[-1] or sizes.where("chunks > 1").isEmpty()
         stay = (sizes if last else sizes.where("chunks = 1")).groupBy("n", "low", "high", "same", "chunks").agg(F.min("bucket").alias("bucket"))
-        here = at.join(stay.select("bucket", "chunks"), "bucket")
+        here = at.hint("merge").join(stay.select("bucket", "chunks"), "bucket")
         here = here.select("bucket", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks", F.col("label").alias("place"), "node")
         placed = here if placed is None else placed.unionByName(here)
         if last:
             return placed
-        pending = at.join(sizes.where("chunks > 1").select("bucket"), "bucket", "left_semi").drop("bucket")
+        pending = at.hint("merge").join(sizes.where("chunks > 1").select("bucket"), "bucket", "left_semi").drop("bucket")
 
 
 def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most_words: int) -> DataFrame:
@@ -304,11 +298,12 @@ def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most
     drop_table(regions)
     # every candidate cluster with its smallest node, which the components do not list
     member = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
-    member = member.join(nodes.select("node", "n_words"), "node")
+    member = member.hint("merge").join(nodes.select("node", "n_words"), "node")
     sizes = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
     sizes = sizes.select(F.col("component").alias("bucket"), _chunks(most_docs, most_words))
     clusters = materialize(
         member.withColumnRenamed("component", "bucket")
+        .hint("merge")
         .join(sizes, "bucket")
         .select("bucket", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "chunks", F.col("node").alias("place"), "node")
     )
@@ -316,11 +311,11 @@ def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most
     links, stars = _search(clusters, texts, _Sets, percent)
     component = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if stars else connected(links)
     # what rows can't tell by themselves: sets that several rows have or that are linked
-    rooted = nodes.select("digest", "node", "lead", "rows").join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    firsts = rooted.join(component.select(F.col("component").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("lead").alias("first"))
-    groups = rooted.join(firsts, "root", "left").where("rows > 1 OR first IS NOT NULL")
+    rooted = nodes.select("digest", "node", "lead", "rows").hint("merge").join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    firsts = rooted.hint("merge").join(component.select(F.col("component").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("lead").alias("first"))
+    groups = rooted.hint("merge").join(firsts, "root", "left").where("rows > 1 OR first IS NOT NULL")
     groups = materialize(groups.select("digest", F.coalesce("first", "lead").alias("first")))
-    out = table.select("row_no", "row", "doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+    out = table.select("row_no", "row", "doc_id", "n_shingles", "digest").hint("merge").join(groups, "digest", "left")
     return out.select(
         "row_no",
         "row",

@@ -141,10 +141,10 @@ def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     ).withColumns({"sha1": F.sha1("payload"), "bytes": F.length("payload")})
     last = rows.groupBy("sha1", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     # most payloads occur once, and only the others' pages need to look theirs up; what is looked up is written first, so
-    # that Spark knows its size and can split the rows of a frequent payload
+    # that Spark can split the rows of a frequent payload, by a merge at every size
     last = materialize(last.where("n > 1").drop("n"))
     revisit = (F.col("bytes") >= least_bytes) & (F.col("page_id") != F.col("last"))
-    return rows.join(last, ["sha1", "bytes"], "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"))
+    return rows.hint("merge").join(last, ["sha1", "bytes"], "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, most_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -2,8 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from canopy.llm import pii, secrets, warc
 
@@ -33,18 +37,127 @@ def test_base_secrets(docs_of):
     assert secrets.scan(docs_of([])).count() == 0
 
 
-def test_random_tokens_stand_out(docs_of):
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": secrets._BASE64}
+
+
+def tail(z):
+    z = min(max(z, -12.0), 12.0)
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def fisher(*p):
+    h = sum(-math.log(max(x, 1e-30)) for x in p)
+    return min(1.0, math.exp(-h) * (1 + h + h * h / 2))
+
+
+def by_hand(word):
+    """(encoding, n, p_random, p_text) of a token, from the definitions."""
+    body = word.translate(str.maketrans("-_", "+/")).rstrip("=")
+    if re.fullmatch("[0-9]+", body):
+        encoding, alphabet, rate = "decimal", "0123456789", 0.0
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        encoding, alphabet, rate, body = "hex", "0123456789abcdef", 120 / 256, body.lower()
+    elif re.fullmatch("[A-Z2-7]+", body):
+        encoding, alphabet, rate = "base32", ALPHABETS["base32"], 2 * 26 * 6 / 1024
+    else:
+        encoding, alphabet, rate = "base64", ALPHABETS["base64"], 1 - (2 * 26**2 + 104) / 4096
+    v, k, n = [alphabet.index(c) for c in body], len(alphabet), len(body)
+    kind = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "+" for c in body]
+    squares, changed = sum(v.count(x) ** 2 for x in set(v)), sum(a != b for a, b in zip(kind, kind[1:]))
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread + 1 / n if spread else 0
+    both = lambda z: min(1.0, 2 * tail(abs(z)))
+    m, slow = n - 1, min(secrets.TEXT_CHANGES, rate / 2)
+    runs = both((changed - m * rate) / math.sqrt(m * rate * (1 - rate))) if rate else 1.0
+    random_side = fisher(tail((k / n * squares - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))), runs, both(serial * math.sqrt(n)) if spread else 0)
+    ic = max(secrets.TEXT_IC, 1.5 / k)
+    sd = math.sqrt(2 * n * (n - 1) * (ic - ic * ic) + 4 * n * (n - 1) * (n - 2) * 0.2 * ic * ic)
+    runs = tail((changed - 0.5 - m * slow) / math.sqrt(m * slow * (1 - slow))) if rate else 1.0
+    near = 1 - both(serial / math.sqrt(1 / n + secrets.TEXT_SERIAL**2)) if spread else 1.0
+    return encoding, n, random_side, fisher(tail((n + n * (n - 1) * ic - squares) / sd), runs, near)
+
+
+def tokens_of(text):
+    """(start, word) of the candidates, by hand."""
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= 12:
+            text = text[: m.start()] + " " * len(m[0]) + text[m.end() :]
+    found = [(m.start(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)]
+    return [(s, w) for s, w in found if not re.search("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", w)]
+
+
+def discovered(rows):
+    """{(doc_id, start, end)} by the step-up over bins of p-values, stratum by stratum."""
+    strata = {}
+    for i, t in rows:
+        for start, word in tokens_of(t or ""):
+            encoding, n, p_random, p = by_hand(word)
+            bin = min(400, math.floor(-10 * math.log10(max(p, 1e-40)))) if p_random >= secrets.KEEP else 0
+            strata.setdefault((encoding, min(30, math.floor(2 * math.log2(n)))), []).append((bin, (i, start, start + len(word))))
+    out = set()
+    for held in strata.values():
+        passing = [b for b, _ in held if b > 0 and 10 ** (-b / 10) <= secrets.FDR * sum(c >= b for c, _ in held) / len(held)]
+        out |= {place for b, place in held if passing and b >= min(passing)}
+    return out
+
+
+def wordy(rng, words):
+    kind, some = rng.randint(0, 4), [rng.choice(words) for _ in range(rng.randint(3, 8))]
+    if kind == 0:
+        return "/" + "/".join(some)
+    if kind == 1:
+        return "_".join(some)
+    if kind == 2:
+        return "".join(w.capitalize() for w in some)
+    if kind == 3:
+        return f"/data/{rng.randint(2000, 2024)}/{rng.randint(10, 12)}/{some[0]}_{rng.randint(0, 99999):05d}/{some[1]}"
+    return "-".join(some).upper()
+
+
+def test_battery_and_discoveries_against_brute_force(docs_of):
+    """Keys of every encoding among many wordy tokens: what is found, its power by length, and how little else."""
     rng = random.Random(9)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    keys = ["".join(rng.choice(alphabet) for _ in range(rng.choice([40, 44, 64]))) for _ in range(60)]
-    words = ["/home/user/projects/library/source", "internationalizationandlocalization", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "some_long_snake_case_identifier_name", "ThisIsAVeryLongCamelCaseClassName"]
-    rows = [(k, f"é the key {key} is here") for k, key in enumerate(keys)] + [(100 + k, f"see {rng.choice(words)} and {rng.choice(words)}") for k in range(200)]
-    out = {r["doc_id"]: r for r in secrets.scan(docs_of(rows)).collect()}
-    assert sum(out[k]["n_random"] for k in range(60)) >= 50
-    assert sum(out[k]["n_random"] for k in range(100, 300)) <= 4
-    hit = next(k for k in range(60) if out[k]["n_random"])
-    start, end = map(int, out[hit]["spans"].split(":")[1:])
-    assert rows[hit][1][start:end] == keys[hit]
+    words = "the quick brown foxes jump over lazy dogs and then settle into morning light near river banks where stones gather moss".split()
+    rows, truth = [(0, None), (1, ""), (2, "x" * 3_000_000), (3, "aaaa " * 50_000), (4, "\x01token=abcdefghijkl\x01")], {}
+    for name, alphabet in ALPHABETS.items():
+        for n in (32, 40, 64):
+            for _ in range(40):
+                truth[len(rows)] = name, n
+                rows.append((len(rows), f"\u00e9 key {''.join(rng.choice(alphabet) for _ in range(n))} token: abcdefghijklm"))
+    rows += [(len(rows) + k, " ".join(wordy(rng, words) for _ in range(8))) for k in range(600)]
+    docs = docs_of(rows).withColumnsRenamed({"lang": "row_no", "source": "a.b"})
+    out = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    found = {(i, *map(int, s.split(":")[1:])) for i, r in out.items() for s in r["spans"].split(",") if s.startswith("random")}
+    assert found == discovered(rows)
+    power = lambda name, n: sum(out[i]["n_random"] for i, x in truth.items() if x == (name, n)) / 40
+    assert power("base64", 32) >= 0.8 and power("base64", 40) >= 0.9 and power("base64", 64) >= 0.95
+    assert power("base32", 64) >= 0.9 and power("hex", 64) >= 0.8
+    false = sum(r["n_random"] for i, r in out.items() if i not in truth)
+    assert false <= 0.02 * len(found)
+
+
+def test_a_hot_source_of_paths_hides_no_keys(spark):
+    """Long keys get through among ten thousand times as many tokens that are none."""
+    rng = random.Random(10)
+    words = "alpha beta gamma delta epsilon library source project module config package service".split()
+    rows = [(k, " ".join(wordy(rng, words) for _ in range(20))) for k in range(1000)]
+    keys = {5000 + k: "".join(rng.choice(ALPHABETS["base64"]) for _ in range(44)) for k in range(10)}
+    out = secrets.scan(spark.createDataFrame(rows + list(keys.items()), "doc_id long, text string")).collect()
+    assert sum(r["n_random"] for r in out if r["doc_id"] in keys) >= 8 and sum(r["n_random"] for r in out if r["doc_id"] < 5000) == 0
+
+
+def test_running_sums(spark):
+    rows = [([k % 7 for k in range(n)],) for n in (1, 2, 63, 64, 65, 128, 1000)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", secrets._sums(F.col("x")).alias("s")).collect():
+        assert r["s"] == [sum(r["x"][:k]) for k in range(len(r["x"]))]
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions in a text of 120,000 matches: the work grows with them, not with their square."""
+    text = "deadbeef01234567 \u00e9 " * 120_000
+    out = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_hex"] == 120_000 and out["spans"].endswith(f"hex:{19 * 119_999}:{19 * 119_999 + 16}")
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -89,6 +202,46 @@ def test_added_pii(docs_of):
     assert [r["spans"] for r in none] == ["", ""] and pii.find(docs_of([])).count() == 0
 
 
+def test_added_spans_are_the_best_segmentation(docs_of):
+    """Of all segmentations of each region the one with the highest score is taken, less what meets a base span."""
+    import itertools
+
+    model = pii.SemiMarkov().fit(pii.examples_of(["call +1 (017) 555-7713 now", "write a.b@c.de now", "ip 10.0.0.1 here"] * 4), rounds=8)
+    texts = ["dial (017) 555-7713 or go", "mail joe at mail dot com ok", "on 2021-03-04 we paid", "see a.b@c.de (017) 555-7713 x", "x 12 y"]
+    out = {r["doc_id"]: r["spans"] for r in pii.scan(docs_of(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)
+        want = {(k, s, e) for k, s, e in base}
+        for words in pii.regions(t):
+            n, scores = len(words), model.scores(model.encode(t, words))
+            best = (-math.inf, [])
+            for cuts in itertools.product([0, 1], repeat=n - 1):
+                edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+                runs = list(zip(edges, edges[1:]))
+                for kinds in itertools.product(range(5), repeat=len(runs)):
+                    if any(k == 4 and h - low > 1 or h - low > pii.LONGEST for k, (low, h) in zip(kinds, runs)):
+                        continue
+                    value, came = 0.0, 4
+                    for k, (low, h) in zip(kinds, runs):
+                        value += model.follow[came, k] + (scores[low, h][k] if k < 4 else 0)
+                        came = k
+                    if value > best[0] + 1e-12:
+                        best = value, [(k, *r) for k, r in zip(kinds, runs) if k < 4]
+            for k, low, high in best[1]:
+                start, end = pii._trim(t, words[low][0], words[high - 1][1])
+                if end > start and not any(start < e and s < end for _, s, e in base):
+                    want.add((k, start, end))
+        assert out[i] == pii.show(sorted(want)), t
+
+
+def test_long_texts_without_blanks():
+    for text in ("\u6f22\u5b57" * 500_000, "1" * 1_000_000, "a@" * 300_000, "\u6f22\u5b571" * 300_000, "+1(" * 300_000):
+        began = time.time()
+        pii.spans_of(text, None)
+        pii.regions(text)
+        assert time.time() - began < 10
+
+
 def test_probabilities_sum_to_one():
     """The forward pass pools exactly the segmentations that there are."""
     import itertools
@@ -135,6 +288,13 @@ def test_archives(spark):
         want.append((str(i), len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if own else "revisit", None if own else last[html or ""]))
     assert out == sorted(want, key=str)
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    # empty payloads and all others below the least size are responses
+    small = warc.round_trip(spark.createDataFrame(rows[:8], PAGES), least_bytes=5).collect()
+    assert {r["record_type"] for r in small if r["payload_bytes"] < 5} == {"response"}
+
+
+def test_reading_is_dealt_by_bytes(spark):
+    assert warc.tasks_for(spark, 0, 10) == spark.sparkContext.defaultParallelism and warc.tasks_for(spark, 1001, 10) == 101
 
 
 def test_index_blocks(spark, tmp_path):
@@ -142,6 +302,8 @@ def test_index_blocks(spark, tmp_path):
     captures = spark.createDataFrame([(f"k{k // 7:03d})/", k % 7 // 2, "a", k, 1) for k in range(700)], "key string, page_id long, archive string, offset long, size long")
     folder = f"file://{tmp_path}/index"
     top = warc.write_index(captures, folder, lines=5)
+    keys = captures.select("key", "page_id").distinct()
+    assert sorted(r["offset"] for r in warc.lookup(keys, folder, top, 3).collect()) == list(range(700))
     index = warc.Index(folder, top)
     for k in (0, 3, 50, 99):
         for page in range(4):
