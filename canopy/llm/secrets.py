@@ -54,23 +54,32 @@ _ENCODINGS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once: a lambda that used the expression itself would do so for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sums(lengths: Column) -> Column:
     """For every length, the sum of those before it."""
     zero = F.lit(0)
     add = lambda held, x: F.struct((held["at"] + x).alias("at"), F.array_append(held["out"], held["at"]).alias("out"))
     none = F.array().cast("array<int>")
     running = lambda values, start: F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), add, lambda held: held["out"])
-    many = F.ceil(F.size(lengths) / BLOCK).cast("int")
-    parts = F.transform(F.sequence(zero, F.greatest(many - 1, zero)), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
-    return F.flatten(F.zip_with(parts, running(totals, zero), running))
+
+    def in_blocks(x: Column) -> Column:
+        blocks = F.sequence(zero, F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, zero))
+        return F.transform(blocks, lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+
+    def of_blocks(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
+        return F.flatten(F.zip_with(parts, running(totals, zero), running))
+
+    return _let(_let(lengths, in_blocks), of_blocks)
 
 
 def _every(values: Column, step: int, first: int) -> Column:
     """values[first], values[first + step], ..."""
-    many = F.floor(F.size(values) / step).cast("int")
-    places = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda k: F.get(values, k * step + first))
+    return F.filter(values, lambda x, k: k % step == first)
 
 
 def _marked(text: Column, pattern: str, shown: str) -> Column:
@@ -80,8 +89,7 @@ def _marked(text: Column, pattern: str, shown: str) -> Column:
 
 def _spans(pieces: Column, starts: Column, rank: int) -> Column:
     """Spans of pieces that alternate between gap and match."""
-    places = _every(F.transform(starts, lambda s: s), 2, 1)
-    words = _every(pieces, 2, 1)
+    places, words = _every(starts, 2, 1), _every(pieces, 2, 1)
     return F.zip_with(
         places, words, lambda s, w: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(w)).alias("end"))
     )
@@ -113,14 +121,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
         F.filter(triples, lambda t: F.length(t["2"]) >= KINDS["assign"]),
         lambda t: F.struct(t["0"].alias("start"), F.lit(0).alias("rank"), (t["0"] + F.length(t["1"]) + F.length(t["2"])).alias("end")),
     )
+    # behind the last gap there is no name and no value
     blanked = F.transform(
         F.arrays_zip(_every(F.col("assigned"), 3, 0), _every(F.col("assigned"), 3, 1), _every(F.col("assigned"), 3, 2)),
-        lambda t: F.concat(
+        lambda t: F.concat_ws(
+            "",
             t["0"],
             F.when(F.length(t["2"]) >= KINDS["assign"], F.repeat(F.lit(" "), F.length(t["1"]) + F.length(t["2"]))).otherwise(F.concat(t["1"], t["2"])),
         ),
     )
-    blanked = F.concat(F.array_join(blanked, ""), F.element_at("assigned", -1))
+    blanked = F.array_join(blanked, "")
     rows = rows.select(
         "row_no",
         "doc_id",
