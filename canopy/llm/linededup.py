@@ -174,6 +174,9 @@ def shared_runs(first: str, later: str, places: list[tuple[int, int]], gram_word
                 end = max(start, later.rfind("\n", start, end))
             if not any(_count(row) >= line_words for row in later[start:end].split("\n")):
                 continue
+        # blanks around stay, to keep apart what is left
+        end = start + len(later[start:end].rstrip())
+        start = end - len(later[start:end].lstrip())
         out.append((start, end))
     return out
 
@@ -208,6 +211,8 @@ def cut_runs(text: str, runs) -> str:
     for k in range(1, len(out)):
         if out[k - 1][-1:] == "\n":
             out[k] = out[k].lstrip("\n")
+        elif out[k - 1][-1:].isspace() and out[k][:1] == " ":
+            out[k] = out[k][1:]
     return "".join(out)
 
 

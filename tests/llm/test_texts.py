@@ -275,7 +275,7 @@ def test_site_posteriors_against_brute_force(spark, docs_of):
     rng = random.Random(71)
     rows, labels = labelled(rng, 300)
     rows += rows[:20] + [(None, prose(rng, 20)), (None, None), (2000, prose(rng, 50_000))]
-    docs = docs_of(rows).withColumn("evidence", docs_of(rows)["n_chars"] * 0).withColumnRenamed("n_chars", "a.b")
+    docs = docs_of(rows).selectExpr("*", "0 AS evidence").withColumnRenamed("n_chars", "a.b")
     host, path = docs["source"], docs["doc_id"] % 4
     out = quality.score(docs, spark.createDataFrame(labels[:200], LABELS), host, path).collect()
     assert len(out) == len(rows)
