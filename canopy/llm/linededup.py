@@ -9,7 +9,7 @@ equal physical lines share theirs.
 
 A fingerprint's occurrences join the first of them only, in order of (doc_id, text hash, position), never each other. That
 loses nothing: what a fingerprint stands for is itself long enough to go. A match is extended both ways as far as the two
-texts agree and trimmed to whole words. It is cut out of the later text if it has `gram_words` words, or if it has whole
+texts have the same words, whatever blanks and line ends are between them. It is cut out of the later text if it has `gram_words` words, or if it has whole
 physical lines, one of LINE_WORDS words among them, which are cut then. Shorter repetitions stay: they are headings,
 phrases and the common stock of a language, and holes in the middle of a line would hurt more than they save. The first
 occurrence of a passage always stays. Of a passage that an earlier text has as well, `window_words` words in whole parts
@@ -25,6 +25,9 @@ text, and a column named like one of the report's gives way to it. An empty tabl
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +40,7 @@ GRAM_WORDS, WINDOW_WORDS, LINE_WORDS = 20, 40, 12
 LONG_WORD = 16
 #: Later texts that meet a first text in one group.
 GROUP = 256
+_WORD = re.compile(r"\S+")
 #: By code point: blanks, and marks that end a sentence.
 _BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
 _END = np.array([chr(c) in ".!?;:" for c in range(128)])
@@ -120,13 +124,21 @@ def _fingerprint_rows(gram_words, window_words, line_words):
     return run
 
 
-def _agree(a: str, i: int, b: str, j: int) -> int:
-    """How many characters from a[i] and b[j] on are the same, by slices of growing and then shrinking size."""
-    done, step, most = 0, 64, min(len(a) - i, len(b) - j)
-    while done < most and a[i + done : i + done + step] == b[j + done : j + done + step]:
+class _Text:
+    """A text's words and where they stand."""
+
+    def __init__(self, text: str):
+        found = list(_WORD.finditer(text))
+        self.text, self.words = text, [m[0] for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+
+
+def _agree(a: list[str], i: int, b: list[str], j: int) -> int:
+    """How many words from a[i] and b[j] on are the same, by slices of growing and then shrinking size."""
+    done, step, most = 0, 16, min(len(a) - i, len(b) - j)
+    while done + step <= most and a[i + done : i + done + step] == b[j + done : j + done + step]:
         done += step
         step *= 2
-    done = min(done, most)
     while step > 1:
         step //= 2
         if done + step <= most and a[i + done : i + done + step] == b[j + done : j + done + step]:
@@ -134,10 +146,10 @@ def _agree(a: str, i: int, b: str, j: int) -> int:
     return done
 
 
-def _agree_before(a: str, i: int, b: str, j: int) -> int:
-    """How many characters before a[i] and b[j] are the same."""
-    done, step, most = 0, 64, min(i, j)
-    while done < most and a[max(0, i - done - step) : i - done] == b[max(0, j - done - step) : j - done] and done + step <= most:
+def _agree_before(a: list[str], i: int, b: list[str], j: int) -> int:
+    """How many words before a[i] and b[j] are the same."""
+    done, step, most = 0, 16, min(i, j)
+    while done + step <= most and a[i - done - step : i - done] == b[j - done - step : j - done]:
         done += step
         step *= 2
     while step > 1:
@@ -147,36 +159,35 @@ def _agree_before(a: str, i: int, b: str, j: int) -> int:
     return done
 
 
-def _count(text: str) -> int:
-    return sum((len(w) + LONG_WORD - 1) // LONG_WORD for w in text.split())
+def _count(words: list[str]) -> int:
+    return sum((len(w) + LONG_WORD - 1) // LONG_WORD for w in words)
 
 
-def shared_runs(first: str, later: str, places: list[tuple[int, int]], gram_words: int, line_words: int) -> list[tuple[int, int]]:
+def shared_runs(first: _Text, later: _Text, places: list[tuple[int, int]], gram_words: int, line_words: int) -> list[tuple[int, int]]:
     """Runs (start, end) of later around the places (there, in first) that first has as well and that are long enough to go."""
-    out, reached = [], {}
+    out, reached, text = [], {}, later.text
     for at, there in sorted(places):
-        if at < reached.get(at - there, 0):
+        i, j = bisect_left(later.starts, at), bisect_left(first.starts, there)
+        if i < reached.get(i - j, 0):
+            continue
+        high = i + _agree(later.words, i, first.words, j)
+        low = i - _agree_before(later.words, i, first.words, j)
+        reached[i - j] = high
+        if high <= low:
             continue
-        end = at + _agree(later, at, first, there)
-        start = at - _agree_before(later, at, first, there)
-        reached[at - there] = end
-        if start and not later[start - 1].isspace():
-            while start < end and not later[start].isspace():
-                start += 1
-        if end < len(later) and not later[end].isspace():
-            while end > start and not later[end - 1].isspace():
-                end -= 1
-        if _count(later[start:end]) < gram_words:
+        start, end = later.starts[low], later.ends[high - 1]
+        if _count(later.words[low:high]) < gram_words:
             # whole lines: from the first line start on, to the last line end
-            if later[:start].rpartition("\n")[2].strip():
-                start = later.find("\n", start, end) + 1 or end
-            if later[end:].partition("\n")[0].strip():
-                end = max(start, later.rfind("\n", start, end))
-            if not any(_count(row) >= line_words for row in later[start:end].split("\n")):
+            if text[text.rfind("\n", 0, start) + 1 : start].strip():
+                start = text.find("\n", start, end) + 1 or end
+            stop = text.find("\n", end)
+            if text[end : stop if stop >= 0 else len(text)].strip():
+                end = max(start, text.rfind("\n", start, end))
+            if not any(_count(row.split()) >= line_words for row in text[start:end].split("\n")):
                 continue
-        # blanks around stay, to keep apart what is left
-        end = start + len(later[start:end].rstrip())
-        start = end - len(later[start:end].lstrip())
+            # blanks around stay, to keep apart what is left
+            end = start + len(text[start:end].rstrip())
+            start = end - len(text[start:end].lstrip())
         out.append((start, end))
     return out
 
@@ -190,10 +201,10 @@ def _run_rows(gram_words, line_words):
             rows = []
             for r in frame.itertuples(index=False):
                 if r.leads:
-                    first = r.text
+                    first = _Text(r.text)
                     continue
                 places = list(zip(r.here.tolist(), r.there.tolist()))
-                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(first, r.text, places, gram_words, line_words)]
+                rows += [(r.doc, r.hash, s, e) for s, e in shared_runs(first, _Text(r.text), places, gram_words, line_words)]
             yield pd.DataFrame(rows, columns=["doc", "hash", "start", "end"], dtype="int64")
 
     return run

@@ -94,12 +94,16 @@ def test_runs_are_maximal():
         same = prose(rng, 80)
         a, b = f"{prose(rng, 10)} {same} {prose(rng, 10)}", f"{prose(rng, 5)} {same} {prose(rng, 5)}"
         start = b.index(same) + same.index(" ") + 1
-        found = linededup.shared_runs(a, b, [(start, a.index(same) + same.index(" ") + 1)], 50, 60)
+        found = linededup.shared_runs(linededup._Text(a), linededup._Text(b), [(start, a.index(same) + same.index(" ") + 1)], 50, 60)
         assert len(found) == 1 and found[0][0] <= b.index(same) and found[0][1] >= b.index(same) + len(same)
     # too short to go from within a line, long enough as lines of its own
     row = " ".join(f"w{k}" for k in range(14))
-    assert linededup.shared_runs(f"a {row} b", f"c {row} d", [(2, 2)], 20, 12) == []
-    assert [f"c\n{row}\nd"[s:e].strip() for s, e in linededup.shared_runs(f"a\n{row}\nb", f"c\n{row}\nd", [(2, 2)], 20, 12)] == [row]
+    runs = lambda a, b, places: [b[s:e] for s, e in linededup.shared_runs(linededup._Text(a), linededup._Text(b), places, 20, 12)]
+    assert runs(f"a {row} b", f"c {row} d", [(2, 2)]) == []
+    assert runs(f"a\n{row}\nb", f"c\n{row}\nd", [(2, 2)]) == [row]
+    # other line ends and blanks between the same words
+    long = prose(rng, 30).split()
+    assert runs(f"a {' '.join(long)} b", f"c\n{chr(10).join(long)}  d", [(2, 2)]) == ["\n".join(long)]
 
 
 def test_alignment_against_the_full_table():
