@@ -312,7 +312,9 @@ def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most
     component = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if stars else connected(links)
     # what rows can't tell by themselves: sets that several rows have or that are linked
     rooted = nodes.select("digest", "node", "lead", "rows").hint("merge").join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    # written before it is joined, so that Spark can split the sets of a component that holds very many
     firsts = rooted.hint("merge").join(component.select(F.col("component").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("lead").alias("first"))
+    firsts = materialize(firsts)
     groups = rooted.hint("merge").join(firsts, "root", "left").where("rows > 1 OR first IS NOT NULL")
     groups = materialize(groups.select("digest", F.coalesce("first", "lead").alias("first")))
     out = table.select("row_no", "row", "doc_id", "n_shingles", "digest").hint("merge").join(groups, "digest", "left")
