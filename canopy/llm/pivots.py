@@ -105,7 +105,8 @@ def _describe(nodes: DataFrame, kind: str, probes: int | None) -> DataFrame:
     spark = nodes.sparkSession
     wide = nodes.withColumn("width", (F.length("raw") / np.dtype(kind).itemsize).cast("int"))
     share = F.pmod(F.xxhash64("raw"), F.lit(1 << 30)) / (1 << 30)
-    sizes = wide.groupBy("width").agg(F.count("*").alias("n"))
+    # a row for each length, written so that Spark knows how small it is
+    sizes = materialize(wide.groupBy("width").agg(F.count("*").alias("n")))
     # the sample of a length; the largest share of it that may be needed is twice MOST_PIVOTS and a little more
     sample = wide.join(sizes, "width").where(share * F.col("n") < 2.2 * MOST_PIVOTS).select("width", "n", "raw", share.alias("share"))
 
