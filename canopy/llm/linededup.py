@@ -253,8 +253,8 @@ def repeated_runs(
     drop_table(fps, firsts)
     # texts are fetched once, for both sides; a first text that many others match is dealt to several groups with it
     key = ["first_doc", "first_hash"]
-    sized = pairs.groupBy(*key).agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    later = pairs.join(sized, key).select(
+    sized = materialize(pairs.groupBy(*key).agg(F.ceil(F.count("*") / GROUP).alias("groups")))
+    later = pairs.hint("merge").join(sized, key).select(
         "doc", "hash", *key, F.pmod(F.xxhash64("doc", "hash"), "groups").alias("group"), F.lit(False).alias("leads"), "here", "there"
     )
     none = F.lit(None).cast("array<long>")
