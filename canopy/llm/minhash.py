@@ -300,7 +300,7 @@ def _components(docs: DataFrame, row, percent: int, depths, most_docs: int, most
     member = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
     member = member.hint("merge").join(nodes.select("node", "n_words"), "node")
     sizes = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    sizes = sizes.select(F.col("component").alias("bucket"), _chunks(most_docs, most_words))
+    sizes = materialize(sizes.select(F.col("component").alias("bucket"), _chunks(most_docs, most_words)))
     clusters = materialize(
         member.withColumnRenamed("component", "bucket")
         .hint("merge")
